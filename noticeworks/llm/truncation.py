@@ -13,58 +13,62 @@ from pyspark.sql import DataFrame
 
 #: Marks of omission that a system puts where it cuts.
 OMISSION = r"(?:\.\.\.+|…|\[\.\.\.?\]|\[…\]|\x{FFFD})\s*$"
-#: A point that ends no sentence.
-SHORT_FORMS = r"(?i)(?<=\b(?:rs|no|nos|dr|st|advt|prof|vs|viz|mr|ms|mrs))\."
+#: A point that ends no sentence; it is written as a raised one.
+SHORT_FORMS = r"(?i)\b(rs|nos?|dr|st|advt|prof|vs|viz|mrs?|ms)\."
+#: Where sentences part: at line ends before a capital and after end marks.
+PARTS = r"\s*[\r\n]+\s*(?=[A-Z][a-z])|(?<=[.!?])\s+"
 
-#: The words of a text in their shape. Hosts keep whether they are complete: labels before the last become h.
+#: A sentence in its shape. Hosts keep whether they are complete: labels before the last become h.
 _SHAPE = r"""
-regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(body, r'{short}', '·'), r'[\r\n]+\s*(?=[A-Z][a-z])', ' ¶ ')),
-  r'\b[0-9]{{1,2}}(?:\s+|-)(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*(?:\s+|-)[0-9]{{4}}\b', 'D'),
-  r'(?<=[a-z0-9])@(?=[a-z])', '@://'),
-  r'(?<=://)(?:[a-z0-9-]+\.)+', 'h.'),
-  r'[0-9]', '0'),
-  r'(?<![a-z])[a-z]{{3}}/(?=0)', 'c/')
-""".format(short=SHORT_FORMS)
+regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(lower(s),
+  r'\b[0-9]{1,2}(?:\s+|-)(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*(?:\s+|-)[0-9]{4}\b', 'D'),
+  r'@(?=[a-z])', '@://'),
+  r'://(?:[a-z0-9-]+\.)+', '://h.'),
+  '123456789', '000000000'),
+  r'\b[a-z]{3}/(?=0)', 'c/')
+"""
 
 
 def trigram_counts(ads: DataFrame, view: str = "noticeworks_ads") -> str:
-    """The common table expressions up to ``judged``: each text with the counts of its last trigram and last word, over all texts."""
+    """The common table expressions up to ``judged``: each text with the counts of its last trigram and last word, over all texts.
+
+    The counts of trigrams feed two joins from one shuffle; the texts' ends are
+    shaped apart, one sentence each.
+    """
     ads.createOrReplaceTempView(view)
     return rf"""
 WITH latest AS (
   SELECT id, max(struct(snapshot_fetched_at, _source_method, raw_text_excerpt, pdf_excerpt)) AS r
   FROM {view} WHERE id IS NOT NULL GROUP BY id
 ), long AS (
-  SELECT id, r._source_method AS source, f.field_name, f.text
+  SELECT id, r._source_method AS source, f.field_name, f.text, right(f.text, 16) RLIKE r'{OMISSION}' AS omitted
   FROM latest LATERAL VIEW explode(array(
     named_struct('field_name', 'raw_text_excerpt', 'text', r.raw_text_excerpt),
     named_struct('field_name', 'pdf_excerpt', 'text', r.pdf_excerpt))) AS f
   WHERE f.text RLIKE r'[\p{{L}}\p{{N}}]'
-), bodies AS (
-  SELECT id, source, field_name, text RLIKE r'{OMISSION}' AS omitted, regexp_replace(text, r'{OMISSION}', '') AS body FROM long
-), shaped AS (
-  SELECT id, source, field_name, omitted, regexp_extract(body, r'(\S)\s*$', 1) AS last,
-         split(trim({_SHAPE}), r'\s*¶\s*|(?<=[.!?])\s+') AS sentences FROM bodies
+), parts AS (
+  SELECT id, source, field_name, omitted, split(regexp_replace(trim(IF(omitted, regexp_replace(text, r'{OMISSION}', ''), text)), r'{SHORT_FORMS}', '$1·'), r'{PARTS}') AS sentences FROM long
 ), words AS (
-  SELECT id, source, field_name, omitted, last, w, p = n - 1 AS final, coalesce(get(w, 2), '') LIKE '%:' OR coalesce(get(w, 3), '') LIKE '%:' AS labelled FROM (
-    SELECT id, source, field_name, omitted, last, size(sentences) AS n, t.p, split(concat('~ ~ ', t.s), r'\s+') AS w
-    FROM shaped LATERAL VIEW posexplode(sentences) t AS p, s)
+  SELECT w, final, coalesce(get(w, 2), '') LIKE '%:' OR coalesce(get(w, 3), '') LIKE '%:' AS labelled FROM (
+    SELECT split(concat('~ ~ ', {_SHAPE}), r'\s+') AS w, p = size(sentences) - 1 AS final
+    FROM parts LATERAL VIEW posexplode(sentences) t AS p, s)
+), grams AS (
+  SELECT xxhash64(labelled, g.`0`, g.`1`, g.`2`) AS gram, xxhash64(g.`2`) AS word, CASE WHEN final AND i = size(w) - 3 THEN 1 ELSE 0 END AS at_end
+  FROM words LATERAL VIEW posexplode(arrays_zip(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), slice(w, 3, size(w) - 2))) t AS i, g
 ), counted AS (
-  SELECT g.gram, any_value(g.word) AS word, count(*) - sum(g.at_end) AS inside, sum(g.at_end) AS at_end FROM (
-    SELECT explode(transform(sequence(2, size(w) - 1), i -> named_struct(
-      'gram', xxhash64(labelled, w[i-2], w[i-1], w[i]), 'word', xxhash64(w[i]),
-      'at_end', CASE WHEN final AND i = size(w) - 1 THEN 1 ELSE 0 END))) AS g FROM words)
-  GROUP BY g.gram
+  SELECT gram, word, count(*) - sum(at_end) AS inside, sum(at_end) AS at_end FROM grams GROUP BY gram, word
 ), word_counts AS (
   SELECT word, sum(inside) AS word_inside, sum(at_end) AS word_end FROM counted GROUP BY word HAVING sum(at_end) > 0
+), ends AS (
+  SELECT id, source, field_name, omitted, split(concat('~ ~ ', {_SHAPE}), r'\s+') AS w FROM (SELECT *, element_at(sentences, -1) AS s FROM parts)
 ), finals AS (
-  SELECT id, source, field_name, omitted, last, labelled, xxhash64(labelled, element_at(w, -3), element_at(w, -2), element_at(w, -1)) AS gram,
-         xxhash64(element_at(w, -1)) AS word
-  FROM words WHERE final
+  SELECT id, source, field_name, omitted, labelled, element_at(w, -1) RLIKE r'[.!?"”’)\]}}]$' AS stopped,
+         xxhash64(labelled, element_at(w, -3), element_at(w, -2), element_at(w, -1)) AS gram, xxhash64(element_at(w, -1)) AS word
+  FROM (SELECT *, coalesce(get(w, 2), '') LIKE '%:' OR coalesce(get(w, 3), '') LIKE '%:' AS labelled FROM ends)
 ), judged AS (
-  SELECT f.id, f.source, f.field_name, f.omitted, f.labelled, f.last RLIKE r'[.!?।"”’)\]}}]' AS stopped,
+  SELECT f.id, f.source, f.field_name, f.omitted, f.labelled, f.stopped,
          c.inside, c.at_end - 1 AS others_end, c.inside + c.at_end - 1 AS others, v.word_inside, v.word_end
-  FROM finals f JOIN (SELECT * FROM counted WHERE at_end > 0) c ON f.gram = c.gram JOIN word_counts v ON f.word = v.word
+  FROM finals f JOIN counted c ON f.gram = c.gram AND f.word = c.word JOIN word_counts v ON f.word = v.word
 )"""
 
 
