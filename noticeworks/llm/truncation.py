@@ -13,20 +13,22 @@ from pyspark.sql import DataFrame
 
 #: Marks of omission that a system puts where it cuts.
 OMISSION = r"(?:\.\.\.+|…|\[\.\.\.?\]|\[…\]|\x{FFFD})\s*$"
-#: A point that ends no sentence; it is written as a raised one.
-SHORT_FORMS = r"(?i)\b(rs|nos?|dr|st|advt|prof|vs|viz|mrs?|ms)\."
-#: Where sentences part: at line ends before a capital and after end marks.
-PARTS = r"\s*[\r\n]+\s*(?=[A-Z][a-z])|(?<=[.!?])\s+"
+#: Words whose point ends no sentence.
+SHORT_FORMS = "(?:rs|nos?|dr|st|advt|prof|vs|viz|mrs?|ms)"
+#: Where sentences part: at line ends before a capital, unless after a colon, and after end marks.
+PARTS = rf"(?<![:\s])\s*[\r\n]+\s*(?=[A-Z][a-z])|(?<=[.!?])(?<!(?i:\b{SHORT_FORMS}\.))\s+"
+#: Stands behind the last word of a text.
+END = "\uE000"
 
 #: A sentence in its shape. Hosts keep whether they are complete: labels before the last become h.
-_SHAPE = r"""
-regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(lower(s),
-  r'\b[0-9]{1,2}(?:\s+|-)(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*(?:\s+|-)[0-9]{4}\b', 'D'),
-  r'@(?=[a-z])', '@://'),
-  r'://(?:[a-z0-9-]+\.)+', '://h.'),
-  '123456789', '000000000'),
-  r'\b[a-z]{3}/(?=0)', 'c/')
+_SHAPE = rf"""
+translate(regexp_replace(
+  IF(contains(s, '/') OR contains(s, '@'),
+     regexp_replace(regexp_replace(regexp_replace(lower(s), r'@(?=[a-z])', '@://'), r'://(?:[a-z0-9-]+\.)+', '://h.'), r'\b[a-z]{{3}}/(?=[0-9])', 'c/'),
+     lower(s)),
+  r'\b[0-9]{{1,2}}(?:\s+|-)(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*(?:\s+|-)[0-9]{{4}}\b', 'D'), '123456789{END}', '000000000')
 """
+_LABELLED = "coalesce(get(w, 2), '') LIKE '%:' OR coalesce(get(w, 3), '') LIKE '%:'"
 
 
 def trigram_counts(ads: DataFrame, view: str = "noticeworks_ads") -> str:
@@ -46,12 +48,11 @@ WITH latest AS (
     named_struct('field_name', 'raw_text_excerpt', 'text', r.raw_text_excerpt),
     named_struct('field_name', 'pdf_excerpt', 'text', r.pdf_excerpt))) AS f
   WHERE f.text RLIKE r'[\p{{L}}\p{{N}}]'
-), parts AS (
-  SELECT id, source, field_name, omitted, split(regexp_replace(trim(IF(omitted, regexp_replace(text, r'{OMISSION}', ''), text)), r'{SHORT_FORMS}', '$1·'), r'{PARTS}') AS sentences FROM long
+), sentences AS (
+  SELECT id, source, field_name, omitted, s, s LIKE '%{END}' AS final
+  FROM long LATERAL VIEW explode(split(concat(trim(IF(omitted, regexp_replace(text, r'{OMISSION}', ''), text)), '{END}'), r'{PARTS}')) t AS s
 ), words AS (
-  SELECT w, final, coalesce(get(w, 2), '') LIKE '%:' OR coalesce(get(w, 3), '') LIKE '%:' AS labelled FROM (
-    SELECT split(concat('~ ~ ', {_SHAPE}), r'\s+') AS w, p = size(sentences) - 1 AS final
-    FROM parts LATERAL VIEW posexplode(sentences) t AS p, s)
+  SELECT w, final, {_LABELLED} AS labelled FROM (SELECT split(concat('~ ~ ', {_SHAPE}), r'\s+') AS w, final FROM sentences)
 ), grams AS (
   SELECT xxhash64(labelled, g.`0`, g.`1`, g.`2`) AS gram, xxhash64(g.`2`) AS word, CASE WHEN final AND i = size(w) - 3 THEN 1 ELSE 0 END AS at_end
   FROM words LATERAL VIEW posexplode(arrays_zip(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), slice(w, 3, size(w) - 2))) t AS i, g
@@ -59,12 +60,10 @@ WITH latest AS (
   SELECT gram, word, count(*) - sum(at_end) AS inside, sum(at_end) AS at_end FROM grams GROUP BY gram, word
 ), word_counts AS (
   SELECT word, sum(inside) AS word_inside, sum(at_end) AS word_end FROM counted GROUP BY word HAVING sum(at_end) > 0
-), ends AS (
-  SELECT id, source, field_name, omitted, split(concat('~ ~ ', {_SHAPE}), r'\s+') AS w FROM (SELECT *, element_at(sentences, -1) AS s FROM parts)
 ), finals AS (
-  SELECT id, source, field_name, omitted, labelled, element_at(w, -1) RLIKE r'[.!?"”’)\]}}]$' AS stopped,
-         xxhash64(labelled, element_at(w, -3), element_at(w, -2), element_at(w, -1)) AS gram, xxhash64(element_at(w, -1)) AS word
-  FROM (SELECT *, coalesce(get(w, 2), '') LIKE '%:' OR coalesce(get(w, 3), '') LIKE '%:' AS labelled FROM ends)
+  SELECT id, source, field_name, omitted, {_LABELLED} AS labelled, element_at(w, -1) RLIKE r'[.!?"”’)\]}}]$' AND NOT element_at(w, -1) RLIKE r'^{SHORT_FORMS}\.$' AS stopped,
+         xxhash64({_LABELLED}, element_at(w, -3), element_at(w, -2), element_at(w, -1)) AS gram, xxhash64(element_at(w, -1)) AS word
+  FROM (SELECT id, source, field_name, omitted, split(concat('~ ~ ', {_SHAPE}), r'\s+') AS w FROM sentences WHERE final)
 ), judged AS (
   SELECT f.id, f.source, f.field_name, f.omitted, f.labelled, f.stopped,
          c.inside, c.at_end - 1 AS others_end, c.inside + c.at_end - 1 AS others, v.word_inside, v.word_end
