@@ -86,19 +86,19 @@ def verified_subjects(edges: DataFrame, labels: DataFrame, *, purity: float, sup
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, *, rounds: int = 3, purity: float = 0.9, later_purity: float = 0.75, support: int = 3, later_support: int = 5) -> DataFrame:
-    """(ad_id, subject_code) of every ad that labels reach.
+    """(ad_id, subject_code) of every ad that labels reach, seeds included.
 
     Round 1 verifies features by the seeds alone. Later rounds verify the features
     that are still open by all ads labelled so far, with a lower purity, because
     spread labels can lack a subject. Each round's table is written to the shared
     folder. Rounds end early when no feature is added.
     """
-    seeds = seeds.where("ad_id is not null and subject_code is not null").distinct()
+    seeds = spool(seeds.where("ad_id is not null and subject_code is not null").select("ad_id", "subject_code").distinct(), "seeds")
     meanings = spool(verified_subjects(edges, seeds, purity=purity, support=support), "meanings")
 
     def reach(known: DataFrame) -> DataFrame:
         spread = edges.join(known, "feature").select("ad_id", "subject_code").distinct()
-        return spread.join(seeds.select("ad_id").distinct(), "ad_id", "left_anti").unionByName(seeds.join(edges.select("ad_id").distinct(), "ad_id", "left_semi"))
+        return spread.join(seeds.select("ad_id").distinct(), "ad_id", "left_anti").unionByName(seeds)
 
     for _ in range(rounds - 1):
         more = verified_subjects(edges.join(meanings.select("feature").distinct(), "feature", "left_anti"), reach(meanings), purity=later_purity, support=later_support)
@@ -118,4 +118,4 @@ def ad_subjects(ads: DataFrame, positions: DataFrame, seeds: DataFrame, names: D
     """
     areas = ads.where("structured_position is not null").select(F.explode("structured_position.areas").alias("area")).unionByName(positions.select(F.explode("areas").alias("area")))
     edges = spool(ad_features(ads, area_phrases(areas), names), "edges")
-    return propagate(edges, seeds).unionByName(seeds.select("ad_id", "subject_code").where("ad_id is not null and subject_code is not null")).distinct()
+    return propagate(edges, seeds)
