@@ -75,7 +75,7 @@ class SuperMinHash:
 
 
 def band_keys(sets: DataFrame, *, rows: int, bands: int, seed: int) -> DataFrame:
-    """(rep, block, band_key) of each (rep, block, words)."""
+    """(rep, bucket) of each (rep, block, words): one bucket for each band, a hash of block, band and the band's slots."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = SuperMinHash(rows * bands, seed)
@@ -93,9 +93,12 @@ def band_keys(sets: DataFrame, *, rows: int, bands: int, seed: int) -> DataFrame
                     key ^= key >> np.uint64(32)
                 one = batch.slice(start, len(part))
                 take = np.repeat(np.arange(len(part)), bands)
-                yield pa.RecordBatch.from_arrays([one.column("rep").take(pa.array(take)), one.column("block").take(pa.array(take)), pa.array(key.reshape(-1).view(np.int64))], ["rep", "block", "band_key"])
+                blocks = np.array([int.from_bytes(hashlib.blake2b(b.encode(), digest_size=8).digest(), "little") for b in one.column("block").to_pylist()], np.uint64)
+                key = (key ^ blocks[:, None]) * np.uint64(0xFF51AFD7ED558CCD)
+                key ^= key >> np.uint64(29)
+                yield pa.RecordBatch.from_arrays([one.column("rep").take(pa.array(take)), pa.array(key.reshape(-1).view(np.int64))], ["rep", "bucket"])
 
-    return sets.select("rep", "block", "words").mapInArrow(emit, "rep long, block string, band_key long")
+    return sets.select("rep", "block", "words").mapInArrow(emit, "rep long, bucket long")
 
 
 def similar_sets(sets: DataFrame, *, threshold: float = 0.75, rows: int = 5, bands: int = 30, seed: int = 1, chunk: int = 256) -> DataFrame:
@@ -110,13 +113,13 @@ def similar_sets(sets: DataFrame, *, threshold: float = 0.75, rows: int = 5, ban
     are made one before the words are fetched.
     """
     keyed = band_keys(sets, rows=rows, bands=bands, seed=seed)
-    sizes = keyed.groupBy("block", "band_key").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(sizes, ["block", "band_key"]).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    left = members.select("block", "band_key", F.col("rep").alias("a"), F.col("part").alias("pa"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pb"))
-    right = members.select("block", "band_key", F.col("rep").alias("b"), F.col("part").alias("pb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"))
-    candidates = left.join(right, ["block", "band_key", "pa", "pb"]).where("a < b").select("a", "b").distinct()
-    bags = sets.select("rep", F.transform("words", lambda w: F.xxhash64(w)).alias("bag"))
-    met = candidates.join(bags.select(F.col("rep").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("rep").alias("b"), F.col("bag").alias("bag_b")), "b")
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = keyed.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    left = members.select("bucket", F.col("rep").alias("a"), F.col("part").alias("pa"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pb"))
+    right = members.select("bucket", F.col("rep").alias("b"), F.col("part").alias("pb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"))
+    candidates = left.join(right, ["bucket", "pa", "pb"]).where("a < b").select("a", "b").distinct()
+    bags = sets.select("rep", "words")
+    met = candidates.join(bags.select(F.col("rep").alias("a"), F.col("words").alias("bag_a")), "a").join(bags.select(F.col("rep").alias("b"), F.col("words").alias("bag_b")), "b")
     shared = F.size(F.array_intersect("bag_a", "bag_b"))
     union = F.size("bag_a") + F.size("bag_b") - shared
     return met.select("a", "b", (shared / union).alias("similarity")).where(shared >= threshold * union - 1e-9).select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "similarity")
@@ -135,7 +138,8 @@ def connected_groups(nodes: DataFrame, links: DataFrame, *, max_rounds: int = 40
         large = both.join(least, "n").where("m > n").select(F.col("low").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("v").agg(F.min("u").alias("low"))
         small = large.join(low, "v").select("low", "u", "v")
-        after = spool(small.select(F.col("low").alias("u"), "v").union(small.select(F.col("low").alias("u"), F.col("u").alias("v"))).where("u < v").distinct(), "links")
+        after = small.select(F.explode(F.array(F.struct(F.col("low").alias("u"), F.col("v").alias("v")), F.struct(F.col("low").alias("u"), F.col("u").alias("v")))).alias("e"))
+        after = spool(after.select("e.u", "e.v").where("u < v").distinct(), "links")
         same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
         edges = after
         if same:
@@ -152,7 +156,7 @@ def ad_word_sets(ads: DataFrame, *, min_words: int = 60) -> tuple[DataFrame, Dat
     latest = ads.where("id is not null and institution_id is not null").groupBy(F.col("id").alias("ad_id")).agg(F.max(F.struct("snapshot_fetched_at", "institution_id", "title", "raw_text_excerpt")).alias("r"))
     own = latest.select("ad_id", F.col("r.institution_id").alias("block"), words_of(F.col("r.raw_text_excerpt")).alias("own"), words_of(F.col("r.title")).alias("head")).where(F.size("own") >= min_words)
     bags = spool(own.select("ad_id", "block", F.array_sort(F.array_union("own", "head")).alias("words")).withColumn("rep", F.xxhash64("block", F.array_join("words", " "))), "bags")
-    sets = bags.groupBy("rep", "block").agg(F.first("words").alias("words"))
+    sets = bags.groupBy("rep").agg(F.first("block").alias("block"), F.first("words").alias("words"))
     return bags.select("block", "rep", "ad_id"), sets
 
 
