@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: How an unfilled slot is written. A slot holds a name of letters, digits and _ or an instruction; single letters are mathematics.
-_NAME = r"(?:(?:insert|enter|type|add|put|your)\s+[a-z][a-z0-9_ ]{1,60}?(?:\s+here)?|[a-z][a-z]+(?:_[a-z0-9]+)*|[a-z]+(?:_[a-z0-9]+)+)"
-_STRICT = r"(?:(?:insert|enter|type|add|put|your)\s+[a-z][a-z0-9_ ]{1,60}?(?:\s+here)?|[a-z]{2,}(?:_[a-z0-9#]+)+)"
+_NAME = r"(?:(?:insert|enter|type|add|put|your)\s+[a-z][a-z0-9#_ ]{1,60}?(?:\s+here)?|[a-z]{2,}(?:_[a-z0-9#]+)*)"
+_STRICT = r"(?:(?:insert|enter|type|add|put|your)\s+[a-z][a-z0-9#_ ]{1,60}?(?:\s+here)?|[a-z]{2,}(?:_[a-z0-9#]+)+)"
 _KNOWN = r"(?:title|name|institution|department|subject|topic|area|date|body|eligibility|campus|applicant|contact|specialisation|specialization|text|value|field|email|phone|address|number|url|link)"
 SLOTS = [
     rf"\{{\{{\s*{_NAME}\s*\}}\}}",
@@ -32,7 +32,7 @@ SLOTS = [
 ]
 #: What pages and programs say when they fail.
 FAILURES = [
-    r"\b(?:error |http )?# not found\b", r"(?<![\w-])(?:page|file|url|resource) not found(?![\w-])", r"not found on this server", r"\binternal server error\b", r"\bbad gateway\b", r"\bgateway time-?out\b",
+    r"(?<![\w#])# not found\b", r"(?<![\w-])(?:page|file|url|resource) not found(?![\w-])", r"not found on this server", r"\binternal server error\b", r"\bbad gateway\b", r"\bgateway time-?out\b",
     r"\bserver did not respond\b", r"\bservice (?:is )?(?:temporarily )?unavailable\b(?!\s+for)", r"^\W*(?:access (?:is )?denied|forbidden|unauthori[sz]ed)\W*$", r"\byou do not have permission to\b", r"\bhttp error\b", r"\berror #: ", r"\bserver error in\b",
     r"\bruntime error\b", r"\bobject reference (?:is )?not set\b", r"\bunexpected condition\b", r"\b(?:mysql|database|db|sql)\b.{0,30}\b(?:failed|could not be established|refused|error)\b",
     r"\byour session has (?:expired|timed out)\b", r"\bsession (?:expired|timed out)\b", r"\btoo many requests\b", r"\byour (?:ip )?address has been blocked\b", r"\bthe page you are looking for\b", r"\b(?:could not|cannot|can't) find (?:that|the|this) page\b",
@@ -47,7 +47,7 @@ SCRIPTS = [
 #: Filler that stands where content should.
 FILLERS = [
     r"\bdummy text\b", r"\b(?:your|type|enter|add) (?:text|content|title|area|description|name) here\b", r"\b(?:text|title|description|content|area #|area|name|item #) goes here\b", r"\bsample (?:content|text|title|area)(?: #| for\b|\W*$)", r"\btest test\b", r"\basdf\b", r"\bqwer(?:ty)?\b", r"\bhello world\b",
-    r"\btext to be supplied\b", r"\bclick edit to\b", r"\breplace before publishing\b", r"^\W*x{2,}(?:\s+x{2,})*\W*$", r"\bx{4,}\s+x{4,}\b", r"\bto be (?:filled|completed) in later\b", r"^\W*(?:tbd|tba|todo|to be announced)\W*$", r"\btest area #",
+    r"\b(?:text|content|details|description) (?:to be|will be) (?:supplied|added|provided|inserted|entered|updated)\b", r"\bclick edit to\b", r"\breplace before publishing\b", r"^\W*x{2,}(?:\s+x{2,})*\W*$", r"\bx{4,}\s+x{4,}\b", r"\bto be (?:filled|completed) in later\b", r"^\W*(?:tbd|tba|todo|to be announced)\W*$", r"\btest area #",
 ]
 #: Phrases that tell only in short messages which recur in several sources.
 WEAK = [r"^\W*(?:sorry|oops|loading|please wait|redirecting)\b", r"\bplease try again\b", r"\bgo back (?:home|to)\b", r"\b(?:reload|refresh) (?:the|this) page\b", r"\blog in again\b", r"\bclick here to continue\b"]
@@ -75,6 +75,20 @@ def filler_latin(message: Column) -> Column:
     return (F.size(words) >= 4) & (hits >= 0.6 * F.size(words))
 
 
+#: Fixed value: words of which a sentence or a list of topics has at least one.
+_GRAMMAR = r"\b(?:the|of|is|are|to|for|and|in|a|an|by|on|at|will|be|with|from|as|or|not|this|no)\b"
+
+
+def learned_filler(groups: DataFrame) -> DataFrame:
+    """(h) of the messages made of filler words, where filler words are learned: words without grammar around them that occur in messages of filler Latin again and again."""
+    bare = groups.where(~F.col("message").rlike(_GRAMMAR)).select("h", F.filter(F.split("message", "[^a-z]+"), lambda w: F.length(w) > 2).alias("words"), filler_latin(F.col("message")).alias("latin"))
+    each = bare.select("h", "latin", F.size("words").alias("n"), F.explode(F.array_distinct("words")).alias("w"))
+    filler = each.groupBy("w").agg(F.count_if("latin").alias("inside"), F.count("*").alias("everywhere")).where("inside >= 2 and inside >= 0.2 * everywhere")
+    hits = each.where(~F.col("latin")).join(filler.select("w"), "w").groupBy("h").agg(F.count("*").alias("hits"))
+    sizes = bare.where(~F.col("latin")).select("h", F.size(F.array_distinct("words")).alias("distinct"))
+    return hits.join(sizes, "h").where("hits >= 2 and hits >= 0.75 * distinct").select("h")
+
+
 def classify(message: Column, n_sources: Column, n_words: Column) -> Column:
     """'placeholder', 'filler', 'error', 'script' or null for one masked message."""
     return (
@@ -106,7 +120,9 @@ def residue(texts: DataFrame, *, salts: int = 8) -> DataFrame:
     """
     parts = messages(texts.where("rec_key is not null")).withColumn("h", F.xxhash64("message"))
     groups = parts.groupBy("h").agg(F.first("message").alias("message"), F.approx_count_distinct("source").alias("n_sources"), F.count("*").alias("n"))
-    kinds = groups.select("h", classify(F.col("message"), F.col("n_sources"), F.size(F.split("message", " "))).alias("kind")).where("kind is not null")
+    judged = groups.select("h", "message", classify(F.col("message"), F.col("n_sources"), F.size(F.split("message", " "))).alias("kind"))
+    learned = learned_filler(groups).select("h", F.lit("filler").alias("learned"))
+    kinds = judged.join(learned, "h", "left").select("h", F.coalesce("kind", "learned").alias("kind")).where("kind is not null")
     spread = kinds.select("h", "kind", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     met = parts.select("table_name", "rec_key", "h", F.pmod(F.xxhash64("rec_key"), F.lit(salts)).cast("int").alias("salt")).join(spread, ["h", "salt"])
     return met.select("table_name", "rec_key", "kind").distinct()
