@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeworks.storage import spool
+from noticeworks.storage import spool, spread
 
 #: Where the public vocabulary files lie.
 TOKENIZERS = os.environ.get("NOTICEWORKS_TOKENIZERS", "/opt/tokenizers")
@@ -69,7 +69,7 @@ def distinct_words(docs: DataFrame, text: str = "text", *, flush: int = 200_000)
         if seen:
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
-    partial = docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(text).mapInPandas(count, "word string, n long")
+    partial = spread(docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(text)).mapInPandas(count, "word string, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -129,7 +129,7 @@ def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
             yield pa.RecordBatch.from_arrays([batch.column(key), ids_column, pa.ListArray.from_arrays(pa.array(gap_ends, pa.int32()), gaps)], [key, "ids", "gaps"])
 
     schema = f"`{key}` {key_type.simpleString()}, ids array<int>, gaps array<struct<at:int,word:string>>"
-    encoded = docs.select(key, text).mapInArrow(encode, schema)
+    encoded = spread(docs.select(key, text)).mapInArrow(encode, schema)
     if complete:
         return encoded.select(key, "ids")
     held = spool(encoded.withColumn("_row", F.monotonically_increasing_id()), "encoded")
@@ -179,4 +179,4 @@ def token_counts(docs: DataFrame, *, key: str = "doc_id", text: str = "text", pa
             sizes = [len(tool.encode_ordinary(t)) if t else 0 for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(sizes, pa.int64())], [key, "n_tokens"])
 
-    return docs.select(key, text).mapInArrow(count, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long")
+    return spread(docs.select(key, text)).mapInArrow(count, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long")

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeworks.storage import spread
+
 #: What a scanner reads for what is printed.
 CONFUSIONS = [
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"), ("9", "g"), ("+", "t"), ("@", "a"), ("|", "l"), ("!", "l"), ("$", "s"), ("€", "e"),
@@ -416,7 +418,7 @@ def word_counts(texts: DataFrame, *, flush: int = 200_000) -> DataFrame:
         if raw:
             yield rows()
 
-    return texts.select("text").where("text is not null").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(texts.select("text").where("text is not null")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(texts: DataFrame) -> Lexicon:
@@ -464,7 +466,7 @@ def repair_texts(texts: DataFrame, *, all_rows: bool = True) -> DataFrame:
                     rows.append((table, key, name, "\n\n".join(done.paragraphs) if all_rows else None, sorted(done.kinds)))
             yield pd.DataFrame(rows, columns=["table_name", "rec_key", "field_name", "repaired", "kinds"])
 
-    return texts.mapInPandas(run, "table_name string, rec_key string, field_name string, repaired string, kinds array<string>")
+    return spread(texts).mapInPandas(run, "table_name string, rec_key string, field_name string, repaired string, kinds array<string>")
 
 
 def noise_kinds(texts: DataFrame) -> DataFrame:

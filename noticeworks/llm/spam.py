@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeworks.storage import spool
+from noticeworks.storage import spool, spread
 
 #: Words that hold sentences together, English and Hindi.
 FUNCTION_WORDS = frozenset(
@@ -129,7 +129,7 @@ def page_features(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
             yield pa.RecordBatch.from_arrays(columns, [key, "script", "n_items", *FEATURES])
 
     kept = docs.select(key, text).where(F.col(text).isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]"))
-    return kept.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, script string, n_items int, " + ", ".join(f"{f} double" for f in FEATURES))
+    return spread(kept).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, script string, n_items int, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def _distance(centre: np.ndarray, inverse: np.ndarray):

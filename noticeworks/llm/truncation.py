@@ -54,26 +54,34 @@ WITH latest AS (
 ), words AS (
   SELECT w, final, {_LABELLED} AS labelled FROM (SELECT split(concat('~ ~ ', {_SHAPE}), r'\s+') AS w, final FROM sentences)
 ), grams AS (
-  SELECT xxhash64(labelled, g.`0`, g.`1`, g.`2`) AS gram, xxhash64(g.`2`) AS word, CASE WHEN final AND i = size(w) - 3 THEN 1 ELSE 0 END AS at_end
+  SELECT xxhash64(labelled, g.`0`, g.`1`, g.`2`) AS gram, xxhash64(g.`2`) AS word, xxhash64(labelled, g.`0`, g.`1`) AS lead, CASE WHEN final AND i = size(w) - 3 THEN 1 ELSE 0 END AS at_end
   FROM words LATERAL VIEW posexplode(arrays_zip(slice(w, 1, size(w) - 2), slice(w, 2, size(w) - 2), slice(w, 3, size(w) - 2))) t AS i, g
 ), counted AS (
-  SELECT gram, word, count(*) - sum(at_end) AS inside, sum(at_end) AS at_end FROM grams GROUP BY gram, word
+  SELECT gram, word, lead, count(*) - sum(at_end) AS inside, sum(at_end) AS at_end FROM grams GROUP BY gram, word, lead
 ), word_counts AS (
   SELECT word, sum(inside) AS word_inside, sum(at_end) AS word_end FROM counted GROUP BY word HAVING sum(at_end) > 0
+), lead_counts AS (
+  SELECT lead, sum(at_end) AS lead_end FROM counted GROUP BY lead HAVING sum(at_end) > 0
 ), finals AS (
   SELECT id, source, field_name, omitted, {_LABELLED} AS labelled, element_at(w, -1) RLIKE r'[.!?"”’)\]}}]$' AND NOT element_at(w, -1) RLIKE r'^{SHORT_FORMS}\.$' AS stopped,
-         xxhash64({_LABELLED}, element_at(w, -3), element_at(w, -2), element_at(w, -1)) AS gram, xxhash64(element_at(w, -1)) AS word
+         xxhash64({_LABELLED}, element_at(w, -3), element_at(w, -2), element_at(w, -1)) AS gram, xxhash64(element_at(w, -1)) AS word,
+         xxhash64({_LABELLED}, element_at(w, -3), element_at(w, -2)) AS lead
   FROM (SELECT id, source, field_name, omitted, split(concat('~ ~ ', {_SHAPE}), r'\s+') AS w FROM sentences WHERE final)
 ), judged AS (
   SELECT f.id, f.source, f.field_name, f.omitted, f.labelled, f.stopped,
-         c.inside, c.at_end - 1 AS others_end, c.inside + c.at_end - 1 AS others, v.word_inside, v.word_end
-  FROM finals f JOIN counted c ON f.gram = c.gram AND f.word = c.word JOIN word_counts v ON f.word = v.word
+         c.inside, c.at_end - 1 AS others_end, c.inside + c.at_end - 1 AS others, v.word_inside, v.word_end, x.lead_end
+  FROM finals f JOIN counted c ON f.gram = c.gram AND f.word = c.word AND f.lead = c.lead JOIN word_counts v ON f.word = v.word JOIN lead_counts x ON f.lead = x.lead
 )"""
 
 
-def cut_condition(rare_end: float = 0.06, evidence: int = 10) -> str:
-    """True for a cut text. The text itself does not count among the others."""
-    return f"""(NOT stopped AND (omitted OR word_inside < word_end
+def cut_condition(rare_end: float = 0.06, evidence: int = 10, usual: float = 0.05) -> str:
+    """True for a cut text. The text itself does not count among the others.
+
+    A last word that is hardly ever a whole word is a cut one, unless it ends a
+    labelled statement and is the ``usual`` end after the words before it.
+    """
+    return f"""(NOT stopped AND (omitted
+    OR word_inside < word_end AND NOT (labelled AND others_end >= {evidence} AND others_end >= {usual} * lead_end)
     OR CASE WHEN others >= {evidence} THEN others_end < {rare_end} * others ELSE NOT (labelled AND others_end >= 0.5 * others) END))"""
 
 
