@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeworks.storage import spool
+
 #: How an unfilled slot is written. A slot holds a name of letters, digits and _ or an instruction; single letters are mathematics.
 _NAME = r"(?:(?:insert|enter|type|add|put|your)\s+[a-z][a-z0-9#_ ]{1,60}?(?:\s+here)?|[a-z]{2,}(?:_[a-z0-9#]+)*)"
 _STRICT = r"(?:(?:insert|enter|type|add|put|your)\s+[a-z][a-z0-9#_ ]{1,60}?(?:\s+here)?|[a-z]{2,}(?:_[a-z0-9#]+)+)"
@@ -55,6 +57,10 @@ WEAK = [r"^\W*(?:sorry|oops|loading|please wait|redirecting)\b", r"\bplease try
 LATIN = ["lore", "ipsu", "dolo", "amet", "cons", "adip", "elit", "temp", "inci", "labo", "magn", "aliq", "enim", "veni", "quis", "nost", "exer", "ulla", "nisi", "duis", "aute", "irur", "repr", "volu", "veli", "esse", "cill", "fugi", "null", "pari", "exce", "sint", "occa", "cupi", "proi", "sunt", "culp", "offi", "dese", "moll", "anim"]
 
 
+#: Fixed value: words of which a sentence or a list of topics has at least one.
+_GRAMMAR = r"\b(?:the|of|is|are|to|for|and|in|a|an|by|on|at|will|be|with|from|as|or|not|this|no)\b"
+
+
 def any_of(patterns: list[str]) -> str:
     return "(?:" + "|".join(f"(?:{p})" for p in patterns) + ")"
 
@@ -75,10 +81,6 @@ def filler_latin(message: Column) -> Column:
     return (F.size(words) >= 4) & (hits >= 0.6 * F.size(words))
 
 
-#: Fixed value: words of which a sentence or a list of topics has at least one.
-_GRAMMAR = r"\b(?:the|of|is|are|to|for|and|in|a|an|by|on|at|will|be|with|from|as|or|not|this|no)\b"
-
-
 def learned_filler(groups: DataFrame) -> DataFrame:
     """(h) of the messages made of filler words, where filler words are learned: words without grammar around them that occur in messages of filler Latin again and again."""
     bare = groups.where(~F.col("message").rlike(_GRAMMAR)).select("h", F.filter(F.split("message", "[^a-z]+"), lambda w: F.length(w) > 2).alias("words"), filler_latin(F.col("message")).alias("latin"))
@@ -91,11 +93,12 @@ def learned_filler(groups: DataFrame) -> DataFrame:
 
 def classify(message: Column, n_sources: Column, n_words: Column) -> Column:
     """'placeholder', 'filler', 'error', 'script' or null for one masked message."""
+    # What every rule of a bank needs is looked for first.
     return (
-        F.when(message.rlike(any_of(SLOTS)), "placeholder")
-        .when(message.rlike(any_of(SCRIPTS)), "script")
+        F.when(message.rlike(r"[{<%\[]|__|@@|&lt;") & message.rlike(any_of(SLOTS)), "placeholder")
+        .when(message.rlike("script|human|browser") & message.rlike(any_of(SCRIPTS)), "script")
         .when(message.rlike(any_of(FAILURES)), "error")
-        .when(message.rlike(any_of(FILLERS)) | filler_latin(message), "filler")
+        .when(message.rlike(any_of(FILLERS)) | (~message.rlike(_GRAMMAR) & filler_latin(message)), "filler")
         .when((n_sources >= 3) & (n_words <= 12) & message.rlike(any_of(WEAK)), "error")
     )
 
@@ -119,7 +122,7 @@ def residue(texts: DataFrame, *, salts: int = 8) -> DataFrame:
     twice give one row; an empty table gives no rows.
     """
     parts = messages(texts.where("rec_key is not null")).withColumn("h", F.xxhash64("message"))
-    groups = parts.groupBy("h").agg(F.first("message").alias("message"), F.approx_count_distinct("source").alias("n_sources"), F.count("*").alias("n"))
+    groups = spool(parts.groupBy("h").agg(F.first("message").alias("message"), F.approx_count_distinct("source").alias("n_sources")), "messages")
     judged = groups.select("h", "message", classify(F.col("message"), F.col("n_sources"), F.size(F.split("message", " "))).alias("kind"))
     learned = learned_filler(groups).select("h", F.lit("filler").alias("learned"))
     kinds = judged.join(learned, "h", "left").select("h", F.coalesce("kind", "learned").alias("kind")).where("kind is not null")
