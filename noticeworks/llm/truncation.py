@@ -61,7 +61,7 @@ WITH latest AS (
 ), word_counts AS (
   SELECT word, sum(inside) AS word_inside, sum(at_end) AS word_end FROM counted GROUP BY word HAVING sum(at_end) > 0
 ), lead_counts AS (
-  SELECT lead, sum(at_end) AS lead_end FROM counted GROUP BY lead HAVING sum(at_end) > 0
+  SELECT lead, sum(at_end) AS lead_end FROM counted GROUP BY lead HAVING sum(at_end) > 0 AND sum(inside) >= 0
 ), finals AS (
   SELECT id, source, field_name, omitted, {_LABELLED} AS labelled, element_at(w, -1) RLIKE r'[.!?"”’)\]}}]$' AND NOT element_at(w, -1) RLIKE r'^{SHORT_FORMS}\.$' AS stopped,
          xxhash64({_LABELLED}, element_at(w, -3), element_at(w, -2), element_at(w, -1)) AS gram, xxhash64(element_at(w, -1)) AS word,

@@ -102,7 +102,7 @@ def test_truncation(spark):
     for k in range(60):
         own = [parts[(k + j) % 4] for j in range(4)]
         rows.append((f"full{k}", " ".join(own)))
-        rows.append((f"tail{k}", " ".join(own) + f" Contact: office{k}@college.example"))
+        rows.append((f"tail{k}", " ".join(own) + f" Contact: office{k % 10}@college.example"))
     cuts = {"c1": "Women candidates are encouraged to", "c2": parts[0] + " Hard copies must reach the ma", "c3": parts[0] + " The staff club seats…", "c4": parts[0] + " Duties include ten hours of...", "c5": parts[2] + " Contact: office5@coll", "c6": parts[0] + " The staff clu�"}
     rows += list(cuts.items()) + [("none", None), ("blank", "  "), ("marks", "...")]
     ads = spark.createDataFrame([(i, dt.datetime(2026, 1, 1), "m", t, None) for i, t in rows] + [("c1", dt.datetime(2025, 1, 1), "m", parts[0], None), (None, None, "m", "cut te", None)], "id string, snapshot_fetched_at timestamp, _source_method string, raw_text_excerpt string, pdf_excerpt string")
