@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
@@ -78,3 +78,50 @@ def chunked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
 
 def chunk_stats(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return chunks.agg(F.count("*").alias("n_chunks"), F.count_distinct(key).alias("n_docs"), F.max(F.col("char_end") - F.col("char_start")).alias("longest"))
+
+
+def chunk_score(chunk: Column, markers: Sequence[str], junk: str | None = None, least: int = 100, foreign: float = 0.15) -> Column:
+    """How many markers a chunk holds; 0 if it is short, junk, or largely in Devanagari."""
+    low = F.lower(chunk)
+    hits = F.lit(0)
+    for m in markers:
+        hits = hits + F.regexp_count(low, F.lit(m))
+    bad = (F.length(chunk) < least) | (F.length(F.regexp_replace(chunk, "[^\\x{0900}-\\x{097F}]", "")) > foreign * F.length(chunk))
+    if junk:
+        bad = bad | low.rlike(junk)
+    return F.when(bad, 0).otherwise(hits)
+
+
+def picked_chunks(chunks: DataFrame, words: DataFrame, markers: Sequence[str], *, doc: str = "doc_id", head: int = 80, fallback: int = 3) -> DataFrame:
+    """(key, doc, idx, how): the chunks that stand for each record (key, doc, words).
+
+    A chunk whose first ``head`` characters name one of the words is taken, the
+    earliest of them; else the best-scored chunk that names one anywhere; else the
+    ``fallback`` best of the document in their order. Chunks without a score are out.
+    """
+    scored = chunks.withColumn("score", chunk_score(F.col("chunk"), markers)).where("score > 0").withColumn("low", F.lower("chunk"))
+    joined = words.join(scored, doc)
+    named = lambda text: F.exists("words", lambda w: text.contains(F.lower(w)))
+    tier = F.when(named(F.substring("low", 1, head)), 0).when(named(F.col("low")), 1).otherwise(2)
+    ranked = joined.withColumn("tier", tier).withColumn("best", F.min("tier").over(Window.partitionBy("key", doc))).where("tier = best")
+    order = [F.when(F.col("tier") == 0, F.col("idx")), F.col("score").desc(), F.col("idx")]
+    kept = ranked.withColumn("n", F.row_number().over(Window.partitionBy("key", doc).orderBy(*order))).where(F.col("n") <= F.when(F.col("tier") == 2, fallback).otherwise(1))
+    how = F.element_at(F.array(F.lit("head"), F.lit("anywhere"), F.lit("fallback")), F.col("tier") + 1)
+    return kept.select("key", doc, "idx", how.alias("how"))
+
+
+def named_sections(text: str | None, triggers: Sequence[str], stops: Sequence[str] = (), least: int = 40, most: int = 1000) -> dict[str, str]:
+    """{name: body} of 'Name: <trigger> ...' sections: a body runs to the next name or stop, at most ``most`` characters, cut at a word; short ones are dropped; of equal names the last counts."""
+    either = "|".join(map(re.escape, triggers))
+    heads = list(re.finditer(rf"([A-Z][A-Za-z &/-]{{2,60}}):\s+(?=(?:{either}))", text or ""))
+    out: dict[str, str] = {}
+    for k, m in enumerate(heads):
+        body = text[m.end() : heads[k + 1].start() if k + 1 < len(heads) else len(text)]
+        for stop in stops:
+            body = body.split(stop)[0]
+        body = " ".join(body.split())
+        if len(body) > most:
+            body = body[:most].rsplit(" ", 1)[0]
+        if len(body) >= least:
+            out[m.group(1).strip()] = body
+    return out

@@ -114,3 +114,27 @@ def outside_bands(rows: DataFrame, value: str, bands: DataFrame, low: str, high:
     seen = both.withColumn("_last", F.last("_hi", ignorenulls=True).over(Window.orderBy("_lo", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     inside = seen.where("_kind = 1 and _last >= _lo").select(F.col("_lo").alias(value))
     return rows.join(inside, value, "left_anti")
+
+
+def roster_of_unit(positions: DataFrame, rosters: DataFrame) -> DataFrame:
+    """(position_id, row_no): for each position the first roster row of its file whose department contains its own or is contained in it.
+
+    The join is on the file; a file holds a handful of each.
+    """
+    p = positions.select("position_id", "pdf_filename", normalized(F.col("department")).alias("_d"))
+    r = rosters.select("pdf_filename", "row_no", normalized(F.col("department")).alias("_r"))
+    hits = p.join(r, "pdf_filename").where(_contains(F.col("_d"), F.col("_r")))
+    return hits.groupBy("position_id").agg(F.min("row_no").alias("row_no"))
+
+
+def with_details(index: DataFrame, details: DataFrame) -> DataFrame:
+    """Index rows (url, …) with the text of their detail page (url, text) and the number of open positions it states, which is taken out of the text."""
+    key = lambda df: df.withColumn("_k", url_key(F.col("url")))
+    stated = F.regexp_extract("text", r"(?i)\bopen positions?\s*:\s*(\d{1,3})\b", 1)
+    d = key(details).select("_k", F.trim(F.regexp_replace("text", r"(?i)\bopen positions?\s*:\s*\d{1,3}\b", "")).alias("detail"), F.when(stated != "", stated.cast("int")).alias("open_positions")).dropDuplicates(["_k"])
+    return key(index).join(d, "_k", "left").drop("_k")
+
+
+def wildcard_match(value: Column, chosen: list[str], any_item: str) -> Column:
+    """True if nothing is chosen, the value is chosen, or the value stands for all."""
+    return F.lit(True) if not chosen else value.isin(*chosen, any_item)

@@ -6,7 +6,7 @@ No parser fetches anything or raises: a page it can't read gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -21,6 +21,9 @@ _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"t
 _BLOCKS = {"p", "div", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "ul", "ol"}
 
 
+_HEADS = ("h1", "h2", "h3", "h4", "h5", "h6", "strong", "b")
+
+
 @dataclass
 class Node:
     tag: str
@@ -163,6 +166,28 @@ class PageItems:
                 k += 1
 
 
+@udtf(returnType="seq int, url string, text string, heading string")
+class HeadedLinks:
+    """Links with the heading that stands before them: the nearest earlier heading or bold text among the siblings of up to six ancestors."""
+
+    def eval(self, html: str | None, base: str | None):
+        k = 0
+        for a in tree(html).find_all("a"):
+            if not a.attrs.get("href"):
+                continue
+            heading, n, level = None, a, 0
+            while n.parent and level < 6 and heading is None:
+                for s in reversed(n.parent.children[: n.parent.children.index(n)]):
+                    if isinstance(s, Node):
+                        found = [s] if s.tag in _HEADS else s.find_all(*_HEADS)
+                        if found and found[-1].text():
+                            heading = found[-1].text()
+                            break
+                n, level = n.parent, level + 1
+            yield k, urljoin(base or "", a.attrs["href"]), a.text(), heading
+            k += 1
+
+
 @udtf(returnType="seq int, unit string, body string")
 class UnitBlocks:
     """'Name: body' blocks of a page's text, a body running to the next name; bodies over 4000 characters end at a word with '…'."""
@@ -205,10 +230,9 @@ ad_number_of = F.udf(ad_number, StringType())
 
 def link_ads(pages: DataFrame) -> DataFrame:
     """Ads from recruitment links of pages (url, html, fetched_at): one for each address, titles from the context where the link only says 'click here'."""
-    pages.createOrReplaceTempView("noticeworks_pages")
     spark = pages.sparkSession
     spark.udtf.register("noticeworks_links", PageLinks)
-    found = spark.sql("SELECT p.url AS page_url, p.fetched_at, l.* FROM noticeworks_pages p, LATERAL noticeworks_links(p.html, p.url) l WHERE l.recruits")
+    found = spark.sql("SELECT p.url AS page_url, p.fetched_at, l.* FROM {pages} p, LATERAL noticeworks_links(p.html, p.url) l WHERE l.recruits", pages=pages)
     bare = F.col("text").rlike(r"(?i)^(?:click here|here|view|download|details|read more|pdf|apply)\W*$")
     title = F.substring(F.when(bare, F.col("context")).otherwise(F.col("text")), 1, 250)
     return found.select("page_url", "fetched_at", "url", title.alias("title"), ad_number_of(F.concat_ws(" ", "text", "context")).alias("ad_number"), "is_pdf", F.when(F.col("text").rlike(RECRUIT), 0.5).otherwise(0.4).alias("parse_confidence"))
@@ -216,10 +240,9 @@ def link_ads(pages: DataFrame) -> DataFrame:
 
 def table_ads(pages: DataFrame, roles: dict[str, int], least_cells: int = 2) -> DataFrame:
     """Ads from table rows: ``roles`` names the cell (from 0, from the end if negative) of ad_number, title and closing."""
-    pages.createOrReplaceTempView("noticeworks_pages")
     spark = pages.sparkSession
     spark.udtf.register("noticeworks_tables", PageTables)
-    rows = spark.sql("SELECT p.url AS page_url, p.fetched_at, t.* FROM noticeworks_pages p, LATERAL noticeworks_tables(p.html, p.url) t WHERE NOT t.is_head").where(F.size("cells") >= least_cells)
+    rows = spark.sql("SELECT p.url AS page_url, p.fetched_at, t.* FROM {pages} p, LATERAL noticeworks_tables(p.html, p.url) t WHERE NOT t.is_head", pages=pages).where(F.size("cells") >= least_cells)
     cell = lambda k: F.trim(F.try_element_at("cells", F.lit(k + 1 if k >= 0 else k)))
     pdf = F.filter("links", lambda u: F.lower(u).contains(".pdf"))
     out = rows.select("page_url", "fetched_at", "table_no", "row_no", *[cell(k).alias(n) for n, k in roles.items()], F.coalesce(F.try_element_at(pdf, F.lit(1)), F.try_element_at("links", F.lit(1))).alias("url"))
@@ -229,3 +252,13 @@ def table_ads(pages: DataFrame, roles: dict[str, int], least_cells: int = 2) ->
 def parser_for(names: Column, known: list[str], default: str = "generic") -> Column:
     """The parser of a source; unknown names go to the default."""
     return F.when(names.isin(*known), names).otherwise(default)
+
+
+def first_that_finds(pages: DataFrame, parsers: list[Callable[[DataFrame], DataFrame]], page: str = "page_url") -> DataFrame:
+    """The rows of the first parser that finds any on a page: each next parser only sees the pages that are still empty."""
+    found, left = None, pages
+    for parse in parsers:
+        rows = parse(left)
+        left = left.join(rows.select(F.col(page).alias("url")).distinct(), "url", "left_anti")
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    return found

@@ -14,8 +14,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_spooled: list[str] = []
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
+    # Spark 4.1 zips the parts of a union that are partitioned alike, and fails where adaptive execution gave them different numbers of partitions.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
@@ -39,6 +44,7 @@ def spool(df: DataFrame, label: str = "stage") -> DataFrame:
     checkpoint of rows.
     """
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}.parquet"
+    _spooled.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,3 +56,13 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables this process has spooled; call it once their results are written. Returns their number."""
+    n = len(_spooled)
+    for path in _spooled:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _spooled.clear()
+    return n

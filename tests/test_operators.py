@@ -199,3 +199,23 @@ def test_units_columns_tables(spark):
 @pytest.mark.parametrize(("raw", "want"), [("a\fb", "a b"), ("x\nPage 3 of 9\ny", "x\n \ny"), ("x\n- 4 -\ny", "x\n \ny"), ("see page 4 of it", "see page 4 of it")])
 def test_pagination(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "x string").select(layout.without_pagination(F.col("x"))).first()[0] == want
+
+
+def test_picked_chunks(spark):
+    body = " qualification and experience " + "x" * 100
+    c = spark.createDataFrame([(1, 0, "intro" + body), (1, 1, "Optics unit" + body), (1, 2, "z" * 90 + " optics law" + body * 2), (1, 3, "short")], "doc_id long, idx int, chunk string")
+    w = spark.createDataFrame([("a", 1, ["Optics"]), ("b", 1, ["law"]), ("c", 1, ["none"]), ("d", 2, ["optics"])], "key string, doc_id long, words array<string>")
+    got = tuples(chunks.picked_chunks(c, w, ["qualification", "experience"]), "key", "idx", "how")
+    assert got == [("a", 1, "head"), ("b", 2, "anywhere"), ("c", 0, "fallback"), ("c", 1, "fallback"), ("c", 2, "fallback")]
+    assert chunks.named_sections("Physics: Candidates with " + "a" * 50 + " Law: Candidates b", ["Candidates"]) == {"Physics": "Candidates with " + "a" * 50}
+
+
+def test_details_rosters_wildcards(spark):
+    index = spark.createDataFrame([("https://a.example/1/", "One"), ("https://a.example/2", "Two")], "url string, title string")
+    details = spark.createDataFrame([("http://a.example/1", "Open Positions: 3 Teach physics.")], "url string, text string")
+    assert tuples(matching.with_details(index, details), "title", "detail", "open_positions") == [("One", "Teach physics.", 3), ("Two", None, None)]
+    pos = spark.createDataFrame([(1, "f", "Physics"), (2, "f", "Law"), (3, "g", "Physics"), (4, "f", None)], "position_id int, pdf_filename string, department string")
+    ros = spark.createDataFrame([("f", 0, "Department of Physics"), ("f", 1, "Physics")], "pdf_filename string, row_no int, department string")
+    assert tuples(matching.roster_of_unit(pos, ros)) == [(1, 0)]
+    df = spark.createDataFrame([("IN",), ("Multi",), ("US",)], "r string")
+    assert [r[0] for r in df.select(matching.wildcard_match(F.col("r"), ["IN"], "Multi")).collect()] == [True, True, False]

@@ -24,6 +24,7 @@ def test_links_tables_items(spark):
     assert [(r.url, r.title, r.ad_number, r.is_pdf) for r in ads] == [("https://u.example/recruitment/advt1.pdf", "Recruitment of Lecturers", "ABC/12/2026", True)]
     rows = html.table_ads(p, {"ad_number": 0, "title": 1, "closing": 2}).collect()
     assert [(r.ad_number, r.title, r.closing, r.url) for r in rows] == [("A/1", "Professor of Law", "01.02.2026", "https://u.example/l.pdf")]
+    p.createOrReplaceTempView("noticeworks_pages")
     spark.udtf.register("items", html.PageItems)
     assert len(spark.sql("SELECT i.* FROM noticeworks_pages p, LATERAL items(p.html, p.url) i").collect()) == 2
     spark.udtf.register("blocks", html.UnitBlocks)
@@ -105,3 +106,21 @@ def test_sweep_stream_carries_forward(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         events.sweep_stream(events.read_stream(spark, str(tmp_path / "in"), schema, 100), str(tmp_path / "state"), str(tmp_path / "cp"))
     assert {(r.id, r.carried) for r in spark.read.parquet(str(tmp_path / "state/v=1")).collect()} == {("3", False), ("2", True)}
+
+
+def test_headings_and_fallback_chain(spark):
+    p = pages(spark, "<h2>Chemistry</h2><div><p><a href='a.pdf'>Details</a></p></div><b>Physics</b><a href='b.pdf'>Details</a>", PAGE, "<a href='/recruitment/z'>Vacancy notice</a>")
+    p.createOrReplaceTempView("noticeworks_heads")
+    spark.udtf.register("headed", html.HeadedLinks)
+    rows = spark.sql("SELECT h.heading FROM noticeworks_heads p, LATERAL headed(p.html, p.url) h WHERE p.url LIKE '%p0' ORDER BY h.seq").collect()
+    assert [r.heading for r in rows] == ["Chemistry", "Physics"]
+    both = html.first_that_finds(p, [lambda d: html.table_ads(d, {"ad_number": 0, "title": 1, "closing": 2}), html.link_ads])
+    assert {(r.page_url[-2:], r.title) for r in both.collect()} == {("p1", "Professor of Law"), ("p2", "Vacancy notice")}
+
+
+def test_release_deletes_what_was_spooled(spark):
+    from noticeworks import storage
+
+    storage.release(spark)
+    df = storage.spool(spark.range(3))
+    assert df.count() == 3 and storage.release(spark) == 1
