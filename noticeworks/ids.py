@@ -15,20 +15,26 @@ def stable_id(*parts: Column) -> Column:
 
 
 def unique_ids(rows: DataFrame, base: Column, order: list[Column], salt: list[Column], name: str = "uid", max_rounds: int = 20) -> DataFrame:
-    """Adds a collision-free id: the base id for the first row of it by ``order``, a hash of base, salt and a counter for the others.
+    """Adds a collision-free id: the base id for the first row of it by ``order``, a hash of base, salt and order for the others.
 
-    New ids are checked against all others and hashed again with the next counter
-    until none is taken twice; only the rows still in conflict take part in a round.
-    Rows equal in base and order are told apart by their row hash.
+    The first row of each base is found by aggregation, so that a base that a third
+    of all rows share is no task's group. Ids that are taken twice after that are
+    hashed again with a counter until none is; only the rows in conflict take part.
+    Rows equal in base and order are told apart by their row hash, equal rows by a
+    counter.
     """
-    tagged = rows.withColumn("_base", base).withColumn("_n", F.row_number().over(Window.partitionBy("_base").orderBy(*order, F.xxhash64(*[F.col(c).cast("string") for c in rows.columns]))))
-    fresh = stable_id(F.col("_base"), *salt, F.col("_n"))
-    held = spool(tagged.withColumn(name, F.when(F.col("_n") == 1, F.coalesce(F.col("_base"), F.lit(""))).otherwise(fresh)).withColumn("_try", F.lit(0)), "ids")
+    place = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.xxhash64(*[F.col(c).cast("string") for c in rows.columns]).alias("h"))
+    tagged = rows.withColumns({"_base": F.coalesce(base, F.lit("")), "_place": place})
+    first = tagged.groupBy("_base").agg(F.min("_place").alias("_first"))
+    fresh = stable_id(F.col("_base"), *salt, *order)
+    held = tagged.join(first, "_base").withColumn(name, F.when(F.col("_place") == F.col("_first"), F.col("_base")).otherwise(fresh)).withColumn("_row", F.monotonically_increasing_id())
+    held = spool(held.drop("_first"), "ids")
     for attempt in range(1, max_rounds + 1):
-        rank = F.row_number().over(Window.partitionBy(name).orderBy("_n", "_base"))
-        clash = held.withColumn("_clash", rank > 1)
-        if clash.where("_clash").isEmpty():
+        taken = held.groupBy(name).agg(F.count("*").alias("_n")).where("_n > 1").select(name)
+        if taken.isEmpty():
             break
-        again = F.when(F.col("_clash"), stable_id(F.col("_base"), *salt, F.col("_n"), F.lit(attempt))).otherwise(F.col(name))
-        held = spool(clash.withColumn(name, again).drop("_clash"), "ids")
+        rank = F.row_number().over(Window.partitionBy(name).orderBy(F.col("_base") != F.col(name), "_place", "_row"))
+        clash = held.join(taken, name, "left_semi").withColumn("_k", rank)
+        again = clash.withColumn(name, F.when(F.col("_k") > 1, stable_id(F.col("_base"), *salt, F.col("_k"), F.lit(attempt))).otherwise(F.col(name))).drop("_k")
+        held = spool(held.join(taken, name, "left_anti").unionByName(again), "ids")
     return held.select(*rows.columns, name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeworks.functions import dates, fields, text, urls
@@ -212,23 +212,23 @@ def referenced_ads(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "job_ads").select("id").join(refs, "id", "left_semi").distinct()
 
 
-_SNAP = "ranked AS (SELECT *, dense_rank() OVER (ORDER BY snapshot_date DESC) AS age FROM (SELECT snapshot_date, id, max(institution_id) AS institution_id FROM ad_snapshots GROUP BY 1, 2))"
+_SNAP = "ranked AS (SELECT *, dense_rank() OVER (ORDER BY snapshot_date DESC) AS age FROM (SELECT snapshot_date, id, max(institution_id) AS institution_id, epoch_us(min(fetched_at)) AS seq FROM ad_snapshots GROUP BY 1, 2))"
 
 
 def _two_snapshots(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    snaps = table(spark, root, "ad_snapshots").groupBy("snapshot_date", "id").agg(F.max("institution_id").alias("institution_id"))
+    snaps = table(spark, root, "ad_snapshots").groupBy("snapshot_date", "id").agg(F.max("institution_id").alias("institution_id"), F.min("fetched_at").cast("timestamp").alias("at"))
     days = [r[0] for r in snaps.select("snapshot_date").distinct().orderBy(F.col("snapshot_date").desc()).limit(2).collect()]
-    return tuple(snaps.where(F.col("snapshot_date") == d).select("id", "institution_id") for d in days)
+    return tuple(snaps.where(F.col("snapshot_date") == d).select("id", "institution_id", F.unix_micros("at").alias("seq")) for d in days)
 
 
 @query(f"WITH {_SNAP} SELECT id, institution_id, false AS carried FROM ranked WHERE age = 1 UNION ALL SELECT id, institution_id, true FROM ranked WHERE age = 2 AND institution_id IS NOT NULL AND institution_id NOT IN (SELECT institution_id FROM ranked WHERE age = 1 AND institution_id IS NOT NULL)")
 def carried_forward(spark: SparkSession, root: str) -> DataFrame:
     now, before = _two_snapshots(spark, root)
-    return sweep.carry_forward(now, before, "institution_id")
+    return sweep.carry_forward(now.drop("seq"), before.drop("seq"), "institution_id")
 
 
 @query(f"""WITH {_SNAP}, targets AS (SELECT id AS institution_id FROM institutions WHERE inst_type = (SELECT min(inst_type) FROM institutions)),
-old AS (SELECT id, institution_id, row_number() OVER (ORDER BY id) AS seq FROM ranked WHERE age = 2), new AS (SELECT id, institution_id, row_number() OVER (ORDER BY id) AS seq FROM ranked WHERE age = 1)
+old AS (SELECT id, institution_id, seq FROM ranked WHERE age = 2), new AS (SELECT id, institution_id, seq FROM ranked WHERE age = 1)
 SELECT id, institution_id, seq, seq AS slot, NULL::VARCHAR AS late_key FROM old WHERE institution_id IS NULL OR institution_id NOT IN (SELECT institution_id FROM targets)
 UNION ALL SELECT n.id, n.institution_id, n.seq, f.slot, CASE WHEN f.slot IS NULL THEN n.institution_id END FROM new n
 LEFT JOIN (SELECT institution_id, min(seq) AS slot FROM old GROUP BY 1) f ON n.institution_id = f.institution_id WHERE n.institution_id IN (SELECT institution_id FROM targets)""")
@@ -236,9 +236,7 @@ def targeted_replace(spark: SparkSession, root: str) -> DataFrame:
     now, before = _two_snapshots(spark, root)
     inst = table(spark, root, "institutions")
     kind = inst.agg(F.min("inst_type")).first()[0]
-    # The order of the feed is part of the example, so both feeds are numbered.
-    number = F.row_number().over(Window.orderBy("id")).cast("long")
-    return sweep.replace_keys(before.withColumn("seq", number), now.withColumn("seq", number), inst.where(F.col("inst_type") == kind).select(F.col("id").alias("institution_id")), "institution_id", "seq").select("id", "institution_id", "seq", "slot", "late_key")
+    return sweep.replace_keys(before, now, inst.where(F.col("inst_type") == kind).select(F.col("id").alias("institution_id")), "institution_id", "seq").select("id", "institution_id", "seq", "slot", "late_key")
 
 
 @query("""SELECT id, fetched_at, closing_date, first_fetched FROM (SELECT id, fetched_at, closing_date, min(fetched_at) OVER (PARTITION BY id) AS first_fetched,
@@ -263,7 +261,7 @@ def stable_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query(f"""WITH {_LATEST}, b AS (SELECT id, {_SID} AS base, row_number() OVER (PARTITION BY {_SID} ORDER BY id) AS n FROM ads)
-SELECT id, CASE WHEN n = 1 THEN base ELSE substr(sha256(base || chr(0) || id || chr(0) || n || chr(0)), 1, 16) END AS uid FROM b""")
+SELECT id, CASE WHEN n = 1 THEN base ELSE substr(sha256(base || chr(0) || id || chr(0) || id || chr(0)), 1, 16) END AS uid FROM b""")
 def collision_free_ids(spark: SparkSession, root: str) -> DataFrame:
     ads = latest_ads(spark, root, "institution_id", "title").select("id", "institution_id", "title")
     return unique_ids(ads, stable_id(F.col("institution_id"), F.col("title")), [F.col("id")], [F.col("id")]).select("id", "uid")

@@ -25,10 +25,11 @@ def test_stable_id(spark):
 
 def test_unique_ids_are_unique_even_if_a_hash_is_taken(spark):
     taken = hashlib.sha256(b"k\0" + b"s\0" + b"2\0").hexdigest()[:16]
-    df = spark.createDataFrame([("k", 1), ("k", 2), (taken, 3), (None, 4)], "b string, seq int")
+    df = spark.createDataFrame([("k", 1), ("k", 2), (taken, 3), (None, 4), ("e", 5), ("e", 5), ("e", 5)], "b string, seq int")
     out = unique_ids(df, F.col("b"), [F.col("seq")], [F.lit("s")]).collect()
-    assert len({r.uid for r in out}) == 4
-    assert {r.seq: r.uid for r in out}[1] == "k"
+    assert len({r.uid for r in out}) == 7
+    assert {r.seq: r.uid for r in out}[1] == "k" and {r.seq: r.uid for r in out}[3] == taken
+    assert unique_ids(df.limit(0), F.col("b"), [F.col("seq")], []).count() == 0
 
 
 @pytest.mark.parametrize(("value", "want"), [("  Café & Bar–Club ", "cafe and bar club"), ("Ångström", "angstrom"), (None, ""), ("", "")])

@@ -36,8 +36,8 @@ def test_links_tables_items(spark):
 
 
 def test_parser_dispatch(spark):
-    df = spark.createDataFrame([("jnu",), ("new",), (None,)], "p string")
-    assert [r[0] for r in df.select(html.parser_for(F.col("p"), ["jnu"])).collect()] == ["jnu", "generic", "generic"]
+    df = spark.createDataFrame([("tables",), ("new",), (None,)], "p string")
+    assert [r[0] for r in df.select(html.parser_for(F.col("p"), ["tables"])).collect()] == ["tables", "generic", "generic"]
 
 
 def test_portal_feed(spark):
