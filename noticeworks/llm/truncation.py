@@ -77,12 +77,12 @@ WITH latest AS (
 def cut_condition(rare_end: float = 0.06, evidence: int = 10, usual: float = 0.05) -> str:
     """True for a cut text. The text itself does not count among the others.
 
-    A last word that is hardly ever a whole word is a cut one, unless it ends a
+    A trigram that is never inside is a proper end only in a labelled statement. A last word that is hardly ever a whole word is a cut one, unless it ends a
     labelled statement and is the ``usual`` end after the words before it.
     """
     return f"""(NOT stopped AND (omitted
     OR word_inside < word_end AND NOT (labelled AND others_end >= {evidence} AND others_end >= {usual} * lead_end)
-    OR CASE WHEN others >= {evidence} THEN others_end < {rare_end} * others ELSE NOT (labelled AND others_end >= 0.5 * others) END))"""
+    OR CASE WHEN others >= {evidence} THEN others_end < {rare_end} * others OR (inside = 0 AND NOT labelled) ELSE NOT (labelled AND others_end >= 0.5 * others) END))"""
 
 
 def cut_texts(ads: DataFrame, *, rare_end: float = 0.06, evidence: int = 10) -> DataFrame:
