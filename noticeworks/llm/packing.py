@@ -96,7 +96,7 @@ def pack(sizes: DataFrame, packs: DataFrame, *, key: str = "doc_id", size: str =
     spark = sizes.sparkSession
     if packs.where("capacity > 0 and pack_name is not null").isEmpty():
         return spark.createDataFrame([], f"pack_name string, container_id long, `{key}` {sizes.schema[key].dataType.simpleString()}, piece int, units int")
-    cut = pieces(sizes, packs, key=key, size=size).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
+    cut = pieces(spool(sizes.select(key, size), "sizes"), packs, key=key, size=size).withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)).cast("int"))
     cells = spool(cut.groupBy("pack_name", "capacity", "units", "salt").agg(F.count("*").alias("n")), "cells")
     offsets = cells.withColumn("offset", F.sum("n").over(Window.partitionBy("pack_name", "units").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("pack_name", "units", "salt", F.coalesce("offset", F.lit(0)).alias("offset"))
     # At most (sum of capacities) rows.
