@@ -232,7 +232,7 @@ def strip_inline(text: str, lexicon: Lexicon) -> tuple[str, set[str]]:
         if found.upper() == found:
             bare = re.sub(_CODE, "", found)
             words = re.findall(r"[A-Z]{2,}", bare)
-            left, right = text[: m.start()].rstrip(), text[m.end() :].lstrip()
+            left, right = text[max(0, m.start() - 40) : m.start()].rstrip(), text[m.end() : m.end() + 40].lstrip()
             if len(words) < 2 or sum(map(len, words)) < 10 or max(map(len, words)) < 5 or re.search(r"[A-Z]{2}\W*$", left[-8:]) or re.match(r"\W*[A-Z]{2}", right[:8]) or right[:1] in ".,;:)" or not left:
                 return found
         elif m.start() == 0 and m.end() == len(text):
@@ -250,7 +250,7 @@ def strip_inline(text: str, lexicon: Lexicon) -> tuple[str, set[str]]:
     if "header" in kinds or "age " in out or any(c.isdigit() for c in out):
 
         def weak(m: re.Match) -> str:
-            left, right = out[: m.start()].split(), out[m.end() :].split()
+            left, right = out[max(0, m.start() - 80) : m.start()].split(), out[m.end() : m.end() + 80].split()
             if not left or not right:
                 return m.group(0)
             kind = "p" if m.group(1)[0] in "pP" else "n"

@@ -27,7 +27,7 @@ FUNCTION_WORDS = frozenset(
     " है हैं के का की में से को पर और या हेतु तथा था थे होंगे होगा जो नहीं एक ही कर किए लिए यह"
     .split()
 )
-LINK = re.compile(r"\[[^\]\n]*\]\([^)\s]*\)|<a\s[^>]*>.*?</a>|(?:https?://|www\.)[^\s|)\]>\"]+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/[^\s|)\]>\"]*)", re.I)
+LINK = re.compile(r"\[[^\]\n]{0,300}\]\([^)\s]{0,500}\)|<a\s[^>]{0,500}>.{0,300}?</a>|(?:https?://|www\.)[^\s|)\]>\"]+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/[^\s|)\]>\"]*)", re.I)
 _PIECES = re.compile(r"[\r\n]+|(?<=[.!?।])\s+|\s+(?:[|•·/»–—*~;:]|-|>>+|::)+\s+|\s*;\s*|,\s+|\t+| {2,}|^\s*(?:>>+|[-*•])\s*", re.M)
 _STOPS = ".!?।:"
 _TAG = re.compile(r"#\w+")

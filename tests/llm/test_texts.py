@@ -143,3 +143,14 @@ def test_spam_pages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("script", F.lit("x"))
     assert {r.doc_id for r in spam.spam_pages(df).collect()} == set(range(900, 912))
     assert spam.spam_pages(df.limit(0)).count() == 0
+
+
+def test_very_long_texts_are_linear():
+    import time
+
+    start = time.time()
+    page = "The selected person shall teach in room 12 of the block, see page 4 of the list. " * 4000
+    done = scan_noise.repair(page, lexicon())
+    assert len(" ".join(done.paragraphs).split()) == len(page.split())
+    spam.measure("[x " * 20_000 + "<a " * 20_000 + page)
+    assert time.time() - start < 20
