@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeworks.storage import spread
+
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -73,7 +75,7 @@ def chunked(docs: DataFrame, *, key: str = "doc_id", text: str = "text", least:
                     rows.append((f"{k}#{i}", k, i, a, b, t[a:b]))
             yield pd.DataFrame(rows, columns=["chunk_id", key, "idx", "char_start", "char_end", "chunk"])
 
-    return docs.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"chunk_id string, `{key}` {docs.schema[key].dataType.simpleString()}, idx int, char_start int, char_end int, chunk string")
+    return spread(docs.where(F.col(text).isNotNull()).select(key, text)).mapInPandas(run, f"chunk_id string, `{key}` {docs.schema[key].dataType.simpleString()}, idx int, char_start int, char_end int, chunk string")
 
 
 def chunk_stats(chunks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -48,12 +48,11 @@ def mandate_gap(rows: DataFrame, mandate: dict[str, float] = MANDATE) -> DataFra
     """
     named = F.coalesce(*[F.when(F.col("category") == c, F.lit(t)) for c, t in mandate.items()])
     sums = rows.where(F.col("category").isin(*mandate)).groupBy("category").agg(F.sum("posts").cast("long").alias("posts"))
-    total = sums.agg(F.sum("posts").alias("_all"))
-    share = F.col("posts") * 100.0 / F.col("_all")
+    total = sums.agg(F.sum("posts")).first()[0] or 1
+    share = F.col("posts") * 100.0 / F.lit(total)
     index = share / named * 100.0
     band = F.when(index > 110, "over").when(index < 50, "severe").when(index < 90, "under").otherwise("met")
-    # One row of totals.
-    return sums.join(F.broadcast(total)).select("category", "posts", F.round(share, 3).alias("share"), named.alias("target"), F.round(index, 3).alias("index"), band.alias("band"))
+    return sums.select("category", "posts", F.round(share, 3).alias("share"), named.alias("target"), F.round(index, 3).alias("index"), band.alias("band"))
 
 
 def stacked(rows: DataFrame, group: str, part: str) -> DataFrame:
@@ -71,5 +70,5 @@ def argmax_rows(rows: DataFrame, group: str, value: str, label: str) -> DataFram
 
 def ratio_to(rows: DataFrame, name: str, value: str, reference: str) -> DataFrame:
     """Rows ordered by value with their ratio to the reference row."""
-    base = rows.where(F.col(name) == reference).agg(F.max(value).alias("_base"))
-    return rows.join(F.broadcast(base)).select(name, value, F.round(F.col(value) / F.col("_base"), 6).alias("ratio"))
+    base = rows.where(F.col(name) == reference).agg(F.max(value)).first()[0]
+    return rows.select(name, value, F.round(F.col(value) / F.lit(base), 6).alias("ratio"))

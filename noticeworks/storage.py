@@ -53,6 +53,8 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as the cluster has cores, for work in Python over few or small files.
 
     A table read in enough splits is left as it is, so nothing is shuffled at scale.
+    For frames that come from a scan: asking a frame behind a shuffle for its
+    partitions would run the shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

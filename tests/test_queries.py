@@ -35,3 +35,9 @@ def test_partition_count_does_not_matter(spark, root):
         assert one == sorted(map(tuple, feed_queries.collision_free_ids(spark, root).collect()))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_pair_of_all_rows_in_any_plan(spark, root, name):
+    plan = QUERIES[name](spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
