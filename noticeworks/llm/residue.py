@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeworks.storage import spool
+from noticeworks.storage import spool, spread
 
 #: How an unfilled slot is written. A slot holds a name of letters, digits and _ or an instruction; single letters are mathematics.
 _NAME = r"(?:(?:insert|enter|type|add|put|your)\s+[a-z][a-z0-9#_ ]{1,60}?(?:\s+here)?|[a-z]{2,}(?:_[a-z0-9#]+)*)"
@@ -121,7 +121,7 @@ def residue(texts: DataFrame, *, salts: int = 8) -> DataFrame:
     Defined cases: null and empty texts and null keys give no rows; records given
     twice give one row; an empty table gives no rows.
     """
-    parts = messages(texts.where("rec_key is not null")).withColumn("h", F.xxhash64("message"))
+    parts = messages(spread(texts.where("rec_key is not null and text is not null"))).withColumn("h", F.xxhash64("message"))
     groups = spool(parts.groupBy("h").agg(F.first("message").alias("message"), F.approx_count_distinct("source").alias("n_sources")), "messages")
     judged = groups.select("h", "message", classify(F.col("message"), F.col("n_sources"), F.size(F.split("message", " "))).alias("kind"))
     learned = learned_filler(groups).select("h", F.lit("filler").alias("learned"))
