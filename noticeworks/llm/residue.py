@@ -126,8 +126,8 @@ def residue(texts: DataFrame, *, salts: int = 8) -> DataFrame:
     judged = groups.select("h", "message", classify(F.col("message"), F.col("n_sources"), F.size(F.split("message", " "))).alias("kind"))
     learned = learned_filler(groups).select("h", F.lit("filler").alias("learned"))
     kinds = judged.join(learned, "h", "left").select("h", F.coalesce("kind", "learned").alias("kind")).where("kind is not null")
-    spread = kinds.select("h", "kind", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = parts.select("table_name", "rec_key", "h", F.pmod(F.xxhash64("rec_key"), F.lit(salts)).cast("int").alias("salt")).join(spread, ["h", "salt"])
+    copies = kinds.select("h", "kind", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    met = parts.select("table_name", "rec_key", "h", F.pmod(F.xxhash64("rec_key"), F.lit(salts)).cast("int").alias("salt")).join(copies, ["h", "salt"])
     return met.select("table_name", "rec_key", "kind").distinct()
 
 
