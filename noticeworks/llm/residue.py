@@ -122,7 +122,7 @@ def residue(texts: DataFrame, *, salts: int = 8) -> DataFrame:
     twice give one row; an empty table gives no rows.
     """
     parts = messages(spread(texts.where("rec_key is not null and text is not null"))).withColumn("h", F.xxhash64("message"))
-    groups = spool(parts.groupBy("h").agg(F.first("message").alias("message"), F.approx_count_distinct("source").alias("n_sources")), "messages")
+    groups = spread(spool(parts.groupBy("h").agg(F.first("message").alias("message"), F.approx_count_distinct("source").alias("n_sources")), "messages"))
     judged = groups.select("h", "message", classify(F.col("message"), F.col("n_sources"), F.size(F.split("message", " "))).alias("kind"))
     learned = learned_filler(groups).select("h", F.lit("filler").alias("learned"))
     kinds = judged.join(learned, "h", "left").select("h", F.coalesce("kind", "learned").alias("kind")).where("kind is not null")
