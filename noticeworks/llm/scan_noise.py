@@ -31,11 +31,15 @@ CONFUSIONS = [
 ]
 LIGATURES = "ﬀﬁﬂﬃﬄ"
 HYPHENS = "-‐‑¬\xad"
-#: A lexicon word makes up at least this share of all words: at most 1 / MIN_SHARE words exist, which bounds the broadcast.
+#: A lexicon word makes up at least this share of all words, over distinct texts or over rows: at most 2 / MIN_SHARE words exist, which bounds the broadcast.
 MIN_SHARE = 2e-6
 MIN_COUNT = 4
-#: A word this many times rarer than the word it becomes by one undone confusion is no lexicon word.
+#: A word this many times rarer than the word it becomes by undone confusions is no lexicon word.
 RARER = 25
+#: What no printed word has: ligatures, and confused digits or symbols inside letters.
+_NEVER = re.compile(rf"[{LIGATURES}]|[^\W\d_][015689+@|!$€]+[^\W\d_]")
+#: The same before or after letters: numbers like 5g and 1st have them, a misread word has a commoner form of letters alone.
+_BESIDE = re.compile(r"^[015689+@|!$€]+[^\W\d_]|[^\W\d_][015689+@|!$€]+$")
 _EDGE = ".,;:!?()[]{}\"'“”‘’<>*"
 
 _CODE = r"[A-Z]{2,6}/\d{1,4}/\d{2,4}"
@@ -83,21 +87,37 @@ class Lexicon:
     raw: set[str] = field(default_factory=set)
 
     @classmethod
-    def of(cls, counts: dict[str, int], total: int) -> Lexicon:
+    def of(cls, counts: dict[str, int], total: int, rows: dict[str, int] | None = None) -> Lexicon:
+        """The lexicon of ``counts`` over distinct texts; ``rows`` counts every copy of a text.
+
+        A word is held against its undone forms, as deep as ``repair`` looks for them,
+        by distinct texts: copies of a misread page say nothing for its misreadings. One
+        in too few distinct texts to be judged is dropped for any commoner undone form.
+        """
+        rows = counts if rows is None else rows
         words = {w: n for w, n in counts.items() if w[0] > "\x02"}
         keep = {}
         for w, n in words.items():
-            if any(words.get(v, 0) >= RARER * n for v, _ in undone(w)):
+            if _NEVER.search(w):
+                continue
+            forms = [(v, words[v]) for v, _ in undone(w, 2 if cls.deep(w) else 1) if v in words]
+            rarer = RARER if n >= MIN_COUNT else 1 + 1 / n
+            if any(m >= rarer * n or m > n and v.isalpha() and _BESIDE.search(w) for v, m in forms):
                 continue
             keep[w] = math.log(n / max(1, total))
         numbers = set()
         for key, n in counts.items():
             if key[0] <= "\x02":
                 beside = words.get(key[2:].split("|", 1)[1], 0)
-                if n >= max(3, 0.02 * beside):
+                if rows[key] >= 3 and n >= (0.02 if n >= 3 else 0.25) * beside:
                     numbers.add(key)
         return cls(keep, numbers)
 
+    @staticmethod
+    def deep(word: str) -> bool:
+        """True for words in which two confusions are looked for."""
+        return len(word) > 5 or not word.isascii() or not word.isalpha()
+
     def knows(self, token: str) -> bool:
         """True for lexicon words, numbers, addresses and compounds of lexicon words."""
         if token in self.raw:
@@ -121,7 +141,7 @@ class Lexicon:
         best = None
         if len(word) > 2 and len(word) < 40:
             found = [(n * 4.0 - self.share[v], v) for v, n in undone(word) if v in self.share]
-            if not found and (len(word) > 5 or not word.isascii() or not word.isalpha()):
+            if not found and self.deep(word):
                 found = [(n * 4.0 - self.share[v], v) for v, n in undone(word, 2) if v in self.share]
             if found:
                 cost, v = min(found)
@@ -388,46 +408,58 @@ def noisy_at_sight(text: str, lexicon: Lexicon) -> bool:
 
 
 def word_counts(texts: DataFrame, *, flush: int = 200_000) -> DataFrame:
-    """(word, n) over all texts: words, and under \\x01 and \\x02 the words before and after numbers; counted within partitions first."""
+    """(word, n, n_rows): words over all distinct texts and over all rows, and under \\x01 and \\x02 the words before and after numbers; counted within partitions first."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw: Counter = Counter()
         beside: Counter = Counter()
+        raw_more: Counter = Counter()
+        beside_more: Counter = Counter()
 
-        def rows() -> pd.DataFrame:
+        def merged(raw: Counter, beside: Counter) -> Counter:
             words: Counter = Counter(beside)
             for token, n in raw.items():
                 word = core(token)
                 if word and len(word) < 40 and any(c.isalpha() for c in word):
                     words[word] += n
-            return pd.DataFrame({"word": list(words), "n": list(words.values())})
+            return words
+
+        def rows() -> pd.DataFrame:
+            words, more = merged(raw, beside), merged(raw_more, beside_more)
+            return pd.DataFrame({"word": list(words), "n": list(words.values()), "n_rows": [n + more.get(w, 0) for w, n in words.items()]})
 
         for frame in frames:
-            for text in frame["text"]:
+            for text, copies in zip(frame["text"], frame["copies"], strict=True):
                 tokens = text.split()
                 raw.update(tokens)
+                if copies > 1:
+                    for token, n in Counter(tokens).items():
+                        raw_more[token] += n * (copies - 1)
                 for k, token in enumerate(tokens):
                     if len(token) < 4 and token.isdigit() and 0 < k < len(tokens) - 1:
                         page = tokens[k - 1] in ("page", "Page") and k > 1
                         kind, a = ("p", tokens[k - 2]) if page else ("n", tokens[k - 1])
-                        beside[f"\x01{kind}|{core(a)}"] += 1
-                        beside[f"\x02{kind}|{core(tokens[k + 1])}"] += 1
+                        for key in (f"\x01{kind}|{core(a)}", f"\x02{kind}|{core(tokens[k + 1])}"):
+                            beside[key] += 1
+                            if copies > 1:
+                                beside_more[key] += copies - 1
             if len(raw) > flush:
                 yield rows()
-                raw, beside = Counter(), Counter()
+                raw, beside, raw_more, beside_more = Counter(), Counter(), Counter(), Counter()
         if raw:
             yield rows()
 
-    return spread(texts.select("text").where("text is not null")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    distinct = spread(texts.select("text").where("text is not null")).groupBy("text").agg(F.count("*").alias("copies"))
+    return distinct.mapInPandas(count, "word string, n long, n_rows long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
 
 
 def build_lexicon(texts: DataFrame) -> Lexicon:
-    """The lexicon of all texts; at most 1 / MIN_SHARE words and as many neighbours of numbers reach the driver."""
+    """The lexicon of all texts: words common over distinct texts or over rows; at most 2 / MIN_SHARE words and as many neighbours of numbers reach the driver."""
     counts = word_counts(texts).persist()
-    total = counts.where("word > '\x02~'").agg(F.sum("n")).first()[0] or 0
-    common = counts.where(F.col("n") >= max(MIN_COUNT, MIN_SHARE * total)).toPandas()
+    total, total_rows = counts.where("word > '\x02~'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    common = counts.where((F.col("n") >= max(MIN_COUNT, MIN_SHARE * total)) | (F.col("n_rows") >= max(MIN_COUNT, MIN_SHARE * total_rows))).toPandas()
     counts.unpersist()
-    return Lexicon.of(dict(zip(common["word"], common["n"].astype(int), strict=True)), int(total))
+    return Lexicon.of(dict(zip(common["word"], common["n"].astype(int), strict=True)), int(total), dict(zip(common["word"], common["n_rows"].astype(int), strict=True)))
 
 
 def scanned_texts(ads: DataFrame, positions: DataFrame) -> DataFrame:

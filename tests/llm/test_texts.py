@@ -68,6 +68,26 @@ def test_noise_kinds_on_tables(spark):
     assert scan_noise.repair_texts(texts).where("rec_key = 'x'").first().repaired == "The selected person shall teach quantum field theory."
 
 
+def test_frequent_misreadings_are_no_lexicon_words():
+    counts = {"retrofitting": 292, "retroﬁtting": 15, "certificate": 4523, "cer+iﬁcate": 5, "lecturer": 60, "1ecturer": 20, "5g": 900, "13a1": 383, "lie": 76, "be": 2000}
+    words = scan_noise.Lexicon.of(counts, 100_000)
+    assert set(words.share) == {"retrofitting", "certificate", "lecturer", "5g", "13a1", "lie", "be"}
+    for text in ("retroﬁtting", "cer+iﬁcate", "1ecturer"):
+        assert scan_noise.noisy_at_sight(text, words) and scan_noise.repair(text, words).kinds == {"misread"}
+    two = scan_noise.Lexicon.of({"lecturer": 500, "leeturcr": 6}, 100_000)
+    assert set(two.share) == {"lecturer"}
+
+
+def test_copies_of_a_misread_text_do_not_teach_the_lexicon(spark):
+    good = [(f"g{k}", f"Notice {k} says: " + " ".join(SENTENCES)) for k in range(12)]
+    copies = [(f"c{k}", "The selected person shall tcach quantum Held thcory.") for k in range(30)]
+    ads = spark.createDataFrame(good + copies, "id string, pdf_excerpt string")
+    pos = spark.createDataFrame([], "position_id long, raw_section_text string, areas_text string")
+    texts = scan_noise.scanned_texts(ads, pos)
+    assert not {"tcach", "thcory"} & set(scan_noise.build_lexicon(texts).share)
+    assert {tuple(r) for r in scan_noise.noise_kinds(texts).collect()} == {("job_ads", f"c{k}", "pdf_excerpt", "misread") for k in range(30)}
+
+
 RESIDUE = [
     "Apply to {{post_name}} now.", "The ${INSERT PAY LEVEL HERE} applies.", "Pay: [enter pay level].", "%DEPARTMENT% mapping", "<<insert area>>", "&lt;adv_no_5&gt; closes soon.", "@@title@@", "__area_name__", "<INSERT TITLE HERE>", "{% topic %}", "#{SUB_AREA_9}",
     "404 Not Found. The requested address /x/5 was not found on this server.", "Internal Server Error", "#REF!", "[object Object]", "undefined, undefined", "Access denied.", "Your session has expired.",
