@@ -2,7 +2,7 @@
 
 Each text gives five features (links, list-like share, word entropy, repetition,
 function words). Per script the robust centre and scatter come from the half of
-the texts nearest to the centre; outliers by Mahalanobis distance that lie towards
+the distinct texts nearest to the centre; outliers by Mahalanobis distance that lie towards
 spam are held against the exact definition, whose figures the same pass computed.
 """
 
@@ -118,18 +118,18 @@ def measure(text: str) -> tuple[float, float, float, float, float, int]:
 
 
 def page_features(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, script, n_items, the five features) of each text with a letter or digit."""
+    """(key, _text, script, n_items, the five features) of each text with a letter or digit; _text is its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).to_pylist()
             rows = [measure(t) for t in texts]
-            columns = [batch.column(key), pa.array([script_of(t) for t in texts], pa.string()), pa.array([r[5] for r in rows], pa.int32())]
+            columns = [batch.column(key), batch.column("_text"), pa.array([script_of(t) for t in texts], pa.string()), pa.array([r[5] for r in rows], pa.int32())]
             columns += [pa.array([r[k] for r in rows], pa.float64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays(columns, [key, "script", "n_items", *FEATURES])
+            yield pa.RecordBatch.from_arrays(columns, [key, "_text", "script", "n_items", *FEATURES])
 
-    kept = docs.select(key, text).where(F.col(text).isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]"))
-    return spread(kept).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, script string, n_items int, " + ", ".join(f"{f} double" for f in FEATURES))
+    kept = docs.select(key, text, F.xxhash64(text).alias("_text")).where(F.col(text).isNotNull() & F.col(text).rlike(r"[\p{L}\p{N}]"))
+    return spread(kept).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, _text long, script string, n_items int, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def _distance(centre: np.ndarray, inverse: np.ndarray):
@@ -153,18 +153,20 @@ def _by_script(values: dict, default):
     return column
 
 
-def spam_scores(features: DataFrame, *, rounds: int = 2, floor: float = 0.03) -> DataFrame:
+def spam_scores(features: DataFrame, fit: DataFrame, *, rounds: int = 2, floor: float = 0.03) -> DataFrame:
     """Adds ``distance`` (squared, robust) and ``towards`` (positive: in the direction of spam).
 
     Start: medians and median absolute deviations per script. Then ``rounds``
     concentration steps: mean and scatter of the half with the least distance. The
     scatter's diagonal never falls under floor**2, so that a feature which is zero in
-    half of all texts can still be weighed. Statistics are over all rows.
+    half of all texts can still be weighed. Statistics are over all rows of ``fit``,
+    which holds each distinct text once, so that copies of a page do not become the
+    centre; every row of ``features`` is scored.
     """
-    medians = {r.script: r for r in features.groupBy("script").agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES]).collect()}
+    medians = {r.script: r for r in fit.groupBy("script").agg(*[F.percentile_approx(f, 0.5, 10_000).alias(f) for f in FEATURES]).collect()}
     if not medians:
         return features.withColumns({"distance": F.lit(0.0), "towards": F.lit(0.0)})
-    gaps = features
+    gaps = fit
     for f in FEATURES:
         gaps = gaps.withColumn(f"_{f}", F.abs(F.col(f) - _by_script({s: F.lit(float(m[f])) for s, m in medians.items()}, F.lit(0.0))))
     mads = {r.script: r for r in gaps.groupBy("script").agg(*[F.percentile_approx(f"_{f}", 0.5, 10_000).alias(f) for f in FEATURES]).collect()}
@@ -173,7 +175,7 @@ def spam_scores(features: DataFrame, *, rounds: int = 2, floor: float = 0.03) ->
         centres[s] = np.array([m[f] for f in FEATURES], float)
         inverses[s] = np.diag([1 / max(floor, 1.4826 * mads[s][f]) ** 2 for f in FEATURES])
     for _ in range(rounds):
-        scored = features.withColumn("_d", _by_script({s: _distance(centres[s], inverses[s]) for s in centres}, F.lit(0.0)))
+        scored = fit.withColumn("_d", _by_script({s: _distance(centres[s], inverses[s]) for s in centres}, F.lit(0.0)))
         half = {r.script: r.d for r in scored.groupBy("script").agg(F.percentile_approx("_d", 0.5, 10_000).alias("d")).collect()}
         for s, (n, mean, cov) in _moments(scored.where(F.col("_d") <= _by_script({s: F.lit(float(d)) for s, d in half.items()}, F.lit(0.0)))).items():
             if n >= 20:
@@ -196,5 +198,7 @@ def spam_pages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", quan
     keys give no rows; repeated keys give one row; an empty table gives no rows.
     """
     features = spool(page_features(docs.where(F.col(key).isNotNull()), key=key, text=text), "features")
-    scored = spam_scores(features)
+    # The features are a function of the text, so this keeps one row for each text.
+    fit = spool(features.select("_text", "script", *FEATURES).distinct(), "texts")
+    scored = spam_scores(features, fit)
     return scored.where((F.col("distance") > quantile) & (F.col("towards") > 0) & (F.col("lists") > share) & (F.col("n_items") >= items)).select(key).distinct()

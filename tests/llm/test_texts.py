@@ -165,6 +165,13 @@ def test_spam_pages(spark):
     assert spam.spam_pages(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_spam_page_are_not_the_centre(spark):
+    rows = [(k, HAM + f" Room {k} is open to visitors on weekdays from nine to five.") for k in range(100)]
+    rows += [(1000 + k, "\n".join(["best college jobs", "teaching vacancy", "phd jobs pdf", "free job alert"] * 6)) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in spam.spam_pages(df).collect()} == set(range(1000, 1300))
+
+
 def test_very_long_texts_are_linear():
     import time
 
