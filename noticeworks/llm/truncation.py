@@ -2,8 +2,8 @@
 
 Words keep their shape (digits as 0, dates as one word, addresses by their parts)
 and their punctuation. Each text gives the trigrams of its sentences, hashed and
-counted inside texts and at their ends; the last words of all texts are counted
-alike. A text without an end mark is cut if its last trigram is common inside but
+counted inside texts and at their ends, each distinct text once; the last words of
+all texts are counted alike. A text without an end mark is cut if its last trigram is common inside but
 almost never last, or its last word is hardly ever a whole word.
 """
 
@@ -28,13 +28,16 @@ translate(regexp_replace(
      lower(s)),
   r'\b[0-9]{{1,2}}(?:\s+|-)(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*(?:\s+|-)[0-9]{{4}}\b', 'D'), '123456789{END}', '000000000')
 """
+#: The sentences of a text, the last with the end sign.
+_SENTENCES = rf"split(concat(trim(IF(omitted, regexp_replace(text, r'{OMISSION}', ''), text)), '{END}'), r'{PARTS}')"
 _LABELLED = "coalesce(get(w, 2), '') LIKE '%:' OR coalesce(get(w, 3), '') LIKE '%:'"
 
 
 def trigram_counts(ads: DataFrame, view: str = "noticeworks_ads") -> str:
-    """The common table expressions up to ``judged``: each text with the counts of its last trigram and last word, over all texts.
+    """The common table expressions up to ``judged``: each text with the counts of its last trigram and last word, over all distinct texts.
 
-    The counts of trigrams feed two joins from one shuffle; the texts' ends are
+    Copies of a text count once, or a text cut again and again would make its own
+    end a usual one. The counts of trigrams feed two joins from one shuffle; the texts' ends are
     shaped apart, one sentence each.
     """
     ads.createOrReplaceTempView(view)
@@ -48,9 +51,12 @@ WITH latest AS (
     named_struct('field_name', 'raw_text_excerpt', 'text', r.raw_text_excerpt),
     named_struct('field_name', 'pdf_excerpt', 'text', r.pdf_excerpt))) AS f
   WHERE f.text RLIKE r'[\p{{L}}\p{{N}}]'
+), texts AS (
+  SELECT text, omitted FROM long GROUP BY text, omitted
 ), sentences AS (
-  SELECT id, source, field_name, omitted, s, s LIKE '%{END}' AS final
-  FROM long LATERAL VIEW explode(split(concat(trim(IF(omitted, regexp_replace(text, r'{OMISSION}', ''), text)), '{END}'), r'{PARTS}')) t AS s
+  SELECT s, s LIKE '%{END}' AS final FROM texts LATERAL VIEW explode({_SENTENCES}) t AS s
+), last_sentences AS (
+  SELECT id, source, field_name, omitted, s FROM long LATERAL VIEW explode(slice({_SENTENCES}, -1, 1)) t AS s
 ), words AS (
   SELECT w, final, {_LABELLED} AS labelled FROM (SELECT split(concat('~ ~ ', {_SHAPE}), r'\s+') AS w, final FROM sentences)
 ), grams AS (
@@ -66,7 +72,7 @@ WITH latest AS (
   SELECT id, source, field_name, omitted, {_LABELLED} AS labelled, element_at(w, -1) RLIKE r'[.!?"”’)\]}}]$' AND NOT element_at(w, -1) RLIKE r'^{SHORT_FORMS}\.$' AS stopped,
          xxhash64({_LABELLED}, element_at(w, -3), element_at(w, -2), element_at(w, -1)) AS gram, xxhash64(element_at(w, -1)) AS word,
          xxhash64({_LABELLED}, element_at(w, -3), element_at(w, -2)) AS lead
-  FROM (SELECT id, source, field_name, omitted, split(concat('~ ~ ', {_SHAPE}), r'\s+') AS w FROM sentences WHERE final)
+  FROM (SELECT id, source, field_name, omitted, split(concat('~ ~ ', {_SHAPE}), r'\s+') AS w FROM last_sentences)
 ), judged AS (
   SELECT f.id, f.source, f.field_name, f.omitted, f.labelled, f.stopped,
          c.inside, c.at_end - 1 AS others_end, c.inside + c.at_end - 1 AS others, v.word_inside, v.word_end, x.lead_end

@@ -133,6 +133,15 @@ def test_truncation(spark):
     assert truncation.cut_texts(ads.limit(0)).count() == 0
 
 
+def test_copies_of_a_cut_text_are_cut(spark):
+    parts = ["Duties include ten hours of teaching per week.", "Women candidates are encouraged to apply.", "Hard copies must reach the main section in time.", "Letters are sent to all."]
+    rows = [(f"full{k}", f"Notice {chr(97 + k // 10)}{chr(97 + k % 10)} follows. " + " ".join(parts)) for k in range(60)]
+    rows += [(f"copy{k}", parts[0] + " Women candidates are encouraged to") for k in range(40)]
+    ads = spark.createDataFrame([(i, dt.datetime(2026, 1, 1), "m", t, None) for i, t in rows], "id string, snapshot_fetched_at timestamp, _source_method string, raw_text_excerpt string, pdf_excerpt string")
+    assert {r.ad_id for r in truncation.cut_texts(ads).collect()} == {f"copy{k}" for k in range(40)}
+    assert [(r.n_texts, r.n_cut) for r in truncation.cut_shares(ads).collect()] == [(100, 40)]
+
+
 HAM = "The department invites applications for two posts of lecturer in physics. The selected person shall teach courses in optics and guide projects. The upper age limit is 40 years on the closing date. Fluency in the regional language is useful but not compulsory."
 
 
