@@ -1,9 +1,11 @@
 """Problem 2: template residue, filler, error pages and demands for scripts.
 
 Texts fall into messages (sentences or lines, or whole list elements). Numbers,
-addresses and dates are masked, equal messages are grouped by hash across sources,
-and each distinct message is classified once by placeholder and phrase rules; weak
-phrases count only in short messages that recur in several sources.
+addresses, dates and slots are masked and equal messages are grouped across sources.
+Only messages that recur in several sources are classified, by phrase rules; slots
+are classified by the style of their brackets, which must recur likewise. Recurring
+messages that no rule knows are judged by their words, which are weighed by the
+messages that rules know. Filler words are learned from the messages that they fill.
 """
 
 from __future__ import annotations
@@ -49,10 +51,8 @@ SCRIPTS = [
 #: Filler that stands where content should.
 FILLERS = [
     r"\bdummy text\b", r"\b(?:your|type|enter|add) (?:text|content|title|area|description|name) here\b", r"\b(?:text|title|description|content|area #|area|name|item #) goes here\b", r"\bsample (?:content|text|title|area)(?: #| for\b|\W*$)", r"\btest test\b", r"\basdf\b", r"\bqwer(?:ty)?\b", r"\bhello world\b",
-    r"\b(?:text|content|details|description) (?:to be|will be) (?:supplied|added|provided|inserted|entered|updated)\b", r"\bclick edit to\b", r"\breplace before publishing\b", r"^\W*x{2,}(?:\s+x{2,})*\W*$", r"\bx{4,}\s+x{4,}\b", r"\bto be (?:filled|completed) in later\b", r"^\W*(?:tbd|tba|todo|to be announced)\W*$", r"\btest area #",
+    r"\b(?:text|content|details|description) (?:to be|will be) (?:supplied|added|provided|inserted|entered|updated)\b", r"\bclick edit to\b", r"\breplace before publishing\b", r"^\W*x{2,}(?:\s+x{2,})*\W*$", r"\bxx\b", r"\bto be (?:filled|completed) in later\b", r"^\W*(?:tbd|tba|todo|to be announced)\W*$", r"\btest area #",
 ]
-#: Phrases that tell only in short messages which recur in several sources.
-WEAK = [r"^\W*(?:sorry|oops|loading|please wait|redirecting)\b", r"\bplease try again\b", r"\bgo back (?:home|to)\b", r"\b(?:reload|refresh) (?:the|this) page\b", r"\blog in again\b", r"\bclick here to continue\b"]
 #: The stems of the usual filler Latin.
 LATIN = ["lore", "ipsu", "dolo", "amet", "cons", "adip", "elit", "temp", "inci", "labo", "magn", "aliq", "enim", "veni", "quis", "nost", "exer", "ulla", "nisi", "duis", "aute", "irur", "repr", "volu", "veli", "esse", "cill", "fugi", "null", "pari", "exce", "sint", "occa", "cupi", "proi", "sunt", "culp", "offi", "dese", "moll", "anim"]
 
@@ -66,13 +66,21 @@ def any_of(patterns: list[str]) -> str:
 
 
 def masked(message: Column) -> Column:
-    """Lower case, addresses as @, dates and numbers as #, white space squeezed."""
+    """Lower case, addresses as @, dates and numbers as #, runs of x as xx, white space squeezed."""
     x = F.lower(message)
     x = F.regexp_replace(x, r"(?:https?://|www\.)\S*[\w/]|[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "@")
     x = F.regexp_replace(x, r"[0-9]+(?:[.,:/-][0-9]+)*", "#")
+    x = F.when(x.contains("xx"), F.regexp_replace(x, r"\bx{2,}(?:\s+x{2,})*\b", "xx")).otherwise(x)
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
+def slot_styles(message: Column) -> Column:
+    """The brackets of each slot in a masked message, the name in them as ~."""
+    found = F.regexp_extract_all(message, F.lit(any_of(SLOTS)), F.lit(0))
+    styles = F.transform(found, lambda x: F.regexp_replace(x, r"[a-z#](?:[a-z0-9#_ ]*[a-z0-9#])?", "~"))
+    return F.when(message.rlike(r"[{<%\[]|__|@@|&lt;"), F.array_distinct(styles))
+
+
 def filler_latin(message: Column) -> Column:
     """At least four words, most of which start like the usual filler Latin."""
     words = F.filter(F.split(message, "[^a-z]+"), lambda w: F.length(w) > 2)
@@ -82,24 +90,22 @@ def filler_latin(message: Column) -> Column:
 
 
 def learned_filler(groups: DataFrame) -> DataFrame:
-    """(h) of the messages made of filler words, where filler words are learned: words without grammar around them that occur in messages of filler Latin again and again."""
-    bare = groups.where(~F.col("message").rlike(_GRAMMAR)).select("h", F.filter(F.split("message", "[^a-z]+"), lambda w: F.length(w) > 2).alias("words"), filler_latin(F.col("message")).alias("latin"))
-    each = bare.select("h", "latin", F.size("words").alias("n"), F.explode(F.array_distinct("words")).alias("w"))
+    """(h, g) of the messages made of filler words: those of filler Latin, and those of words without grammar around them that occur in messages of filler Latin again and again."""
+    words = F.filter(F.split("message", "[^a-z]+"), lambda w: F.length(w) > 2)
+    bare = groups.where(~F.col("message").rlike(_GRAMMAR)).select("h", "g", F.array_distinct(words).alias("words"), filler_latin(F.col("message")).alias("latin")).where("size(words) > 0")
+    each = bare.select("h", "g", "latin", F.size("words").alias("distinct"), F.explode("words").alias("w"))
     filler = each.groupBy("w").agg(F.count_if("latin").alias("inside"), F.count("*").alias("everywhere")).where("inside >= 2 and inside >= 0.2 * everywhere")
-    hits = each.where(~F.col("latin")).join(filler.select("w"), "w").groupBy("h").agg(F.count("*").alias("hits"))
-    sizes = bare.where(~F.col("latin")).select("h", F.size(F.array_distinct("words")).alias("distinct"))
-    return hits.join(sizes, "h").where("hits >= 2 and hits >= 0.75 * distinct").select("h")
+    hits = each.where(~F.col("latin")).join(filler.select("w"), "w").groupBy("h", "g", "distinct").agg(F.count("*").alias("hits"))
+    return hits.where("hits >= 2 and hits >= 0.75 * distinct").select("h", "g").unionByName(bare.where("latin").select("h", "g"))
 
 
-def classify(message: Column, n_sources: Column, n_words: Column) -> Column:
-    """'placeholder', 'filler', 'error', 'script' or null for one masked message."""
+def classify(message: Column) -> Column:
+    """'script', 'error', 'filler' or null for one masked message that recurs."""
     # What every rule of a bank needs is looked for first.
     return (
-        F.when(message.rlike(r"[{<%\[]|__|@@|&lt;") & message.rlike(any_of(SLOTS)), "placeholder")
-        .when(message.rlike("script|human|browser") & message.rlike(any_of(SCRIPTS)), "script")
+        F.when(message.rlike("script|human|browser") & message.rlike(any_of(SCRIPTS)), "script")
         .when(message.rlike(any_of(FAILURES)), "error")
-        .when(message.rlike(any_of(FILLERS)) | (~message.rlike(_GRAMMAR) & filler_latin(message)), "filler")
-        .when((n_sources >= 3) & (n_words <= 12) & message.rlike(any_of(WEAK)), "error")
+        .when(message.rlike(any_of(FILLERS)), "filler")
     )
 
 
@@ -110,25 +116,43 @@ def messages(texts: DataFrame) -> DataFrame:
     return rows.select("table_name", "rec_key", "source", masked(F.col("part")).alias("message")).where("message <> ''")
 
 
-def residue(texts: DataFrame, *, salts: int = 8) -> DataFrame:
-    """(table_name, rec_key, kind) of the records with a residue message, one row for each kind.
+def recurring(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, n_sources, n) of the groups, exact: partial counts by group and source, then by group."""
+    return rows.groupBy(*by, "source").agg(F.count("*").alias("n")).groupBy(*by).agg(F.count("*").alias("n_sources"), F.sum("n").alias("n"))
+
+
+def learned_phrases(groups: DataFrame, judged: DataFrame, *, inside: float = 0.3, share: float = 0.67) -> DataFrame:
+    """(h, g, kind) of recurring messages that no rule knows, but whose words are those of judged ones: at least ``share`` of its words stand in judged messages in ``inside`` of all messages they stand in."""
+    words = F.filter(F.split(F.regexp_replace("message", _GRAMMAR, " "), "[^a-z]+"), lambda w: F.length(w) > 1)
+    each = groups.join(judged, ["h", "g"], "left").select("h", "g", "kind", "open", F.explode(F.array_distinct(words)).alias("w"))
+    telling = each.groupBy("w").agg(F.count("*").alias("everywhere"), F.count("kind").alias("told"), F.min("kind").alias("as")).where(F.col("told") >= F.greatest(F.lit(1.0), inside * F.col("everywhere")))
+    counts = each.where("open").join(telling, "w", "left").groupBy("h", "g").agg(F.count("*").alias("n"), F.count("as").alias("n_told"), F.min("as").alias("kind"))
+    return counts.where(F.col("n_told") >= share * F.col("n")).select("h", "g", "kind")
+
+
+def residue(texts: DataFrame, *, sources: int = 3) -> DataFrame:
+    """(table_name, rec_key, kind) of the records with residue, one row for each kind.
 
-    ``texts`` is (table_name, rec_key, source, text, whole). Messages are counted by
-    hash with partial aggregation; only classified messages come back, and they meet
-    the records on (hash, salt), so a message that a third of all records carry is
-    spread over ``salts`` tasks.
+    ``texts`` is (table_name, rec_key, source, text, whole). A message, or a style of
+    slots, must recur in ``sources`` sources to be classified at all: a lone sentence
+    about a failed session is content. Counts are exact and aggregate within
+    partitions first; messages meet their records on a hash of 96 bits, in a join
+    that adaptive execution splits where one message holds much of all rows.
 
-    Defined cases: null and empty texts and null keys give no rows; records given
-    twice give one row; an empty table gives no rows.
+    Defined cases: null and empty texts and null keys give no rows; a null source is
+    one source; records given twice give one row; an empty table gives no rows.
     """
-    parts = messages(spread(texts.where("rec_key is not null and text is not null"))).withColumn("h", F.xxhash64("message"))
-    groups = spread(spool(parts.groupBy("h").agg(F.first("message").alias("message"), F.approx_count_distinct("source").alias("n_sources")), "messages"))
-    judged = groups.select("h", "message", classify(F.col("message"), F.col("n_sources"), F.size(F.split("message", " "))).alias("kind"))
-    learned = learned_filler(groups).select("h", F.lit("filler").alias("learned"))
-    kinds = judged.join(learned, "h", "left").select("h", F.coalesce("kind", "learned").alias("kind")).where("kind is not null")
-    copies = kinds.select("h", "kind", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = parts.select("table_name", "rec_key", "h", F.pmod(F.xxhash64("rec_key"), F.lit(salts)).cast("int").alias("salt")).join(copies, ["h", "salt"])
-    return met.select("table_name", "rec_key", "kind").distinct()
+    text = F.col("message")
+    cut = messages(spread(texts.where("rec_key is not null and text is not null"))).withColumns({"source": F.coalesce("source", F.lit("")), "h": F.xxhash64(text), "g": F.hash(text), "styles": slot_styles(text)})
+    parts = spool(cut, "parts")
+    groups = spread(spool(recurring(parts, "message").withColumns({"h": F.xxhash64(text), "g": F.hash(text)}), "messages"))
+    judged = spool(groups.where(F.col("n_sources") >= sources).select("h", "g", classify(text).alias("kind")).withColumn("open", F.col("kind").isNull()), "judged")
+    filler = learned_filler(groups).select("h", "g", F.lit("filler").alias("kind"))
+    kinds = judged.where("kind is not null").select("h", "g", "kind").unionByName(filler).unionByName(learned_phrases(groups, judged)).groupBy("h", "g").agg(F.min("kind").alias("kind"))
+    slots = parts.where(F.size("styles") > 0).select("table_name", "rec_key", "source", F.explode("styles").alias("style"))
+    usual = recurring(slots, "style").where(F.col("n_sources") >= sources)
+    placed = slots.join(usual, "style", "left_semi").select("table_name", "rec_key", F.lit("placeholder").alias("kind"))
+    return parts.select("table_name", "rec_key", "h", "g").join(kinds, ["h", "g"]).select("table_name", "rec_key", "kind").unionByName(placed).distinct()
 
 
 def vacancy_texts(ads: DataFrame, positions: DataFrame) -> DataFrame:

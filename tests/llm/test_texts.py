@@ -99,21 +99,35 @@ HONEST = [
 ]
 
 
+MESSAGES = "table_name string, rec_key string, source string, text string, whole boolean"
+
+
 def test_residue(spark):
-    rows = [("job_ads", f"r{k}", "s", t, False) for k, t in enumerate(RESIDUE)] + [("job_ads", f"h{k}", "s", t, False) for k, t in enumerate(HONEST)]
-    rows += [("job_ads", "mixed", "s", "A long notice about teaching.\nYour browser does not support scripts, so the notice cannot be shown.", False), ("job_ads", "null", "s", None, False), ("job_ads", "empty", "s", "", False), ("job_ads", None, "s", "Dummy text", False), ("job_ads", "r0", "s", RESIDUE[0], False)]
-    df = spark.createDataFrame(rows, "table_name string, rec_key string, source string, text string, whole boolean")
+    rows = [("job_ads", f"r{k}-{c}", f"s{c}", t, False) for k, t in enumerate(RESIDUE) for c in range(3)] + [("job_ads", f"h{k}-{c}", f"s{c}", t, False) for k, t in enumerate(HONEST) for c in range(3)]
+    rows += [("job_ads", "mixed", "s", "A long notice about teaching.\nYour browser does not support scripts, so the notice cannot be shown.", False), ("job_ads", "null", "s", None, False), ("job_ads", "empty", "s", "", False), ("job_ads", None, "s", "Dummy text", False), ("job_ads", "r0-0", "s0", RESIDUE[0], False)]
+    rows += [("job_ads", f"script{c}", None if c == 1 else f"s{c}", "Your browser does not support scripts, so the notice cannot be shown.", False) for c in range(3)]
+    df = spark.createDataFrame(rows, MESSAGES).withColumn("message", F.lit("x"))
     found = {r.rec_key for r in residue.residue(df).collect()}
-    assert {t for k, t in enumerate(RESIDUE) if f"r{k}" not in found} == set()
-    assert {t for k, t in enumerate(HONEST) if f"h{k}" in found} == set()
+    assert {t for k, t in enumerate(RESIDUE) if f"r{k}-0" not in found} == set()
+    assert {t for k, t in enumerate(HONEST) if f"h{k}-0" in found} == set()
     assert "mixed" in found and not found & {"null", "empty", None}
     assert residue.residue(df.limit(0)).count() == 0
 
 
-def test_weak_phrases_need_recurrence(spark):
-    rows = [("job_ads", f"w{k}", f"s{k}", "Sorry, nothing to see", False) for k in range(6)] + [("job_ads", "lone", "s", "Sorry, the date was wrong", False)]
-    found = {r.rec_key for r in residue.residue(spark.createDataFrame(rows, "table_name string, rec_key string, source string, text string, whole boolean")).collect()}
-    assert found == {f"w{k}" for k in range(6)}
+def test_recurrence_decides(spark):
+    lone = ("job_ads", "lone", "s0", "The thesis asks why your session has expired.", False)
+    rows = [("job_ads", f"w{k}", f"s{k}", "Your session has expired.", False) for k in range(3)] + [("job_ads", f"one{k}", "s0", "Internal server error", False) for k in range(3)] + [lone]
+    df = spark.createDataFrame(rows, MESSAGES)
+    assert {r.rec_key for r in residue.residue(df).collect()} == {f"w{k}" for k in range(3)}
+    assert {r.rec_key for r in residue.residue(df, sources=1).collect()} == {r[1] for r in rows}
+
+
+def test_phrases_that_no_rule_knows(spark):
+    known = ["JavaScript is disabled.", "Please enable JavaScript.", "Internal server error", "Server error in application"]
+    rows = [("job_ads", f"k{i}-{c}", f"s{c}", t, False) for i, t in enumerate(known) for c in range(3)] + [("job_ads", f"new{c}", f"s{c}", "JavaScript disabled: server error", False) for c in range(3)]
+    rows += [("job_ads", f"own{c}", f"s{c}", "Optics of thin films", False) for c in range(3)]
+    found = {r.rec_key for r in residue.residue(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert {f"new{c}" for c in range(3)} <= found and "own0" not in found
 
 
 def test_truncation(spark):
@@ -143,44 +157,64 @@ def test_copies_of_a_cut_text_are_cut(spark):
 
 
 HAM = "The department invites applications for two posts of lecturer in physics. The selected person shall teach courses in optics and guide projects. The upper age limit is 40 years on the closing date. Fluency in the regional language is useful but not compulsory."
+LIST = "S.No. | Department | Post | UR | SC\n" + "\n".join(f"{k} | Physics | Professor | {k} | 3" for k in range(1, 30))
+SPAM_CASES = [
+    ("\n".join(["best college jobs", "teaching vacancy 2026", "phd jobs pdf", "free job alert"] * 5), True),
+    (" ".join(["best college jobs teaching vacancy phd jobs pdf free job alert"] * 6), True),
+    (" | ".join(f"[lecturer jobs](https://a{k}.example/p/{k})" for k in range(12)), True),
+    (" ".join(f"https://a{k}.example/x" for k in range(20)), True),
+    (" ".join(f"#tag{k}" for k in range(30)), True),
+    (" * ".join(f"physics guide book Rs. {k}00 buy now" for k in range(1, 12)), True),
+    (HAM[:150] + "\n" + "\n".join(f"lecturer jobs https://a{k}.example/p/{k}" for k in range(30)), True),
+    ("[" + "x" * 900 + "](https://a.example/" + "y" * 900 + ") " + " ".join(f"https://a{k}.example/x" for k in range(9)), True),
+    (HAM, False),
+    (HAM + "\nDownloads\nwww.a.example\nwww.b.example\nwww.c.example\nwww.d.example", False),
+    (LIST, False),
+    ("Reading list.\n" + "\n".join(f"{k}. Rao, A. (2001). Modern approaches to optics: a handbook from Delhi. City Press. Available at www.a{k}.example/b." for k in range(1, 12)), False),
+    ("Apply at https://apply.example/7489 by 6 July 2025.", False),
+    ("", False),
+]
 
 
-@pytest.mark.parametrize(
-    ("text", "spam_like"),
-    [
-        ("\n".join(["best college jobs", "teaching vacancy 2026", "phd jobs pdf", "free job alert"] * 5), True),
-        (" | ".join(f"[lecturer jobs](https://a{k}.example/p/{k})" for k in range(12)), True),
-        (" ".join(f"https://a{k}.example/x" for k in range(20)), True),
-        (" ".join(f"#tag{k}" for k in range(30)), True),
-        (" * ".join(f"physics guide book Rs. {k}00 buy now" for k in range(1, 12)), True),
-        ("नौकरी भर्ती 2026; " * 20, True),
-        (HAM, False),
-        (HAM + "\nDownloads\nwww.a.example\nwww.b.example\nwww.c.example\nwww.d.example", False),
-        ("S.No. | Department | Post | UR | SC\n" + "\n".join(f"{k} | Physics | Professor | {k} | 3" for k in range(1, 30)), False),
-        ("Reading list.\n" + "\n".join(f"{k}. Rao, A. (2001). Modern approaches to optics: a handbook from Delhi. City Press. Available at www.a{k}.example/b." for k in range(1, 12)), False),
-        ("", False),
-    ],
-)
-def test_listing(text, spam_like):
-    _, share, items = spam.listing(text)
-    assert (share > 0.5 and items >= 8) is spam_like
+def prose(n):
+    """Notices that differ in words, sentences and links."""
+    rows = []
+    for k in range(n):
+        extra = [f"Room {k} is open to visitors on weekdays from nine to five.", f"See www.a{k}.example/list for the forms.", "It is one of the oldest departments in the region and has 40 teachers.", "The fee is Rs. 500 and cannot be refunded."]
+        rows.append((k, " ".join([HAM, *extra[: k % 5]][k % 3 == 0 and k % 5 > 1 :]) + f" Ref. {k}."))
+    return rows
+
+
+def test_spam_by_distance_and_direction(spark):
+    rows = prose(300) + [(1000 + k, t) for k, (t, _) in enumerate(SPAM_CASES)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in spam.spam_pages(df).collect()} == {1000 + k for k, (_, s) in enumerate(SPAM_CASES) if s}
+    # The distance and the direction decide: without them rosters, lists and one-liners come along or no row does.
+    assert spam.spam_pages(df, quantile=1e9).count() == 0
+    features = spam.page_features(df)
+    scores = {r.doc_id: r for r in spam.spam_scores(features, features.select("_text", "language", *spam.FEATURES).distinct(), key="doc_id").collect()}
+    roster = scores[1000 + [t for t, _ in SPAM_CASES].index(LIST)]
+    assert roster.distance > 20.09 and roster.direction == "rosters"
 
 
 def test_spam_pages(spark):
-    rows = [(k, HAM + f" Room {k} is open to visitors on weekdays from nine to five.") for k in range(200)]
-    rows += [(900 + k, "\n".join(["best college jobs", f"vacancy {k}", "phd jobs pdf", "free job alert"] * 6)) for k in range(12)] + [(800, None), (801, ""), (802, "..."), (None, "jobs\n" * 30), (905, "jobs alert\n" * 30)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("script", F.lit("x"))
+    rows = prose(200) + [(900 + k, "\n".join(["best college jobs", f"vacancy {k}", "phd jobs pdf", "free job alert"] * 6)) for k in range(12)] + [(800, None), (801, ""), (802, "..."), (None, "jobs\n" * 30), (905, "jobs alert\n" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("language", F.lit("x"))
     assert {r.doc_id for r in spam.spam_pages(df).collect()} == set(range(900, 912))
     assert spam.spam_pages(df.limit(0)).count() == 0
 
 
 def test_copies_of_a_spam_page_are_not_the_centre(spark):
-    rows = [(k, HAM + f" Room {k} is open to visitors on weekdays from nine to five.") for k in range(100)]
-    rows += [(1000 + k, "\n".join(["best college jobs", "teaching vacancy", "phd jobs pdf", "free job alert"] * 6)) for k in range(300)]
+    rows = prose(100) + [(1000 + k, "\n".join(["best college jobs", "teaching vacancy", "phd jobs pdf", "free job alert"] * 6)) for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in spam.spam_pages(df).collect()} == set(range(1000, 1300))
 
 
+@pytest.mark.parametrize(("text", "language"), [(HAM, "en"), ("विभाग में दो पदों के लिए आवेदन आमंत्रित हैं।", "hi"), ("नौकरी apply online for the post now and get it", "mixed"), ("Der Fachbereich sucht zwei Personen, die mit den Studierenden und auf Deutsch arbeiten werden.", "de"), ("job alert " * 9, "en"), ("123", "en")])
+def test_language(text, language):
+    assert spam.measure(text)[0] == language
+
+
 def test_very_long_texts_are_linear():
     import time
 
