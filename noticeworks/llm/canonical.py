@@ -256,7 +256,7 @@ def map_to_canonical(values: DataFrame, references: DataFrame, *, max_edits: int
     """Adds ``ref_id`` (0: none) and ``cost`` to (…, field_name, value).
 
     The dictionary's size is checked before it is broadcast; a reference list over
-    MAX_REFERENCE_CHARS is refused here, because ``map_by_join`` serves it.
+    MAX_REFERENCE_CHARS goes through ``map_by_join``, which gives the same rows.
 
     Defined cases: null and blank values give ref_id 0; a value equal to an entry
     gives that entry; equal costs go to the entry typed more often, then to the
@@ -288,7 +288,7 @@ def map_to_canonical(values: DataFrame, references: DataFrame, *, max_edits: int
 
 
 def map_by_join(values: DataFrame, references: DataFrame, *, max_edits: int = 3) -> DataFrame:
-    """The same mapping for a list too large to broadcast: distinct values and entries meet on shared delete keys in a shuffle join, each value then ranks its own candidates."""
+    """The same mapping for a list too large to broadcast: distinct values and entries meet on shared delete keys in a shuffle join, and each value is looked up in the dictionary of the entries it met."""
     distinct = values.select("field_name", "value").where("value is not null").distinct()
 
     def value_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -320,12 +320,13 @@ def map_by_join(values: DataFrame, references: DataFrame, *, max_edits: int = 3)
     pairs = left.join(right, ["field_name", "key"]).select("field_name", "value", "ref_id", "canonical_name").distinct()
     exact = values.groupBy("field_name", "value").agg(F.count("*").alias("typed")).withColumnRenamed("value", "canonical_name")
     pairs = pairs.join(exact, ["field_name", "canonical_name"], "left").fillna({"typed": 0})
+    each = pairs.groupBy("field_name", "value").agg(F.collect_list(F.struct("ref_id", "canonical_name", "typed")).alias("entries"))
 
     def rank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [CanonicalIndex([(i, n, t)], max_edits).lookup(v) for v, i, n, t in zip(frame["value"], frame["ref_id"], frame["canonical_name"], frame["typed"], strict=True)]
-            yield pd.DataFrame({"field_name": frame["field_name"], "value": frame["value"], "ref_id": [r for r, _ in found], "cost": [c for _, c in found], "typed": frame["typed"]})
+            # All entries that the whole dictionary would offer for a value are in its list, so the same rules give the same entry.
+            found = [CanonicalIndex([(e["ref_id"], e["canonical_name"], e["typed"]) for e in entries], max_edits).lookup(v) for v, entries in zip(frame["value"], frame["entries"], strict=True)]
+            yield pd.DataFrame({"field_name": frame["field_name"], "value": frame["value"], "found_id": [r for r, _ in found], "found_cost": [c for _, c in found]})
 
-    ranked = pairs.mapInPandas(rank, "field_name string, value string, ref_id int, cost double, typed long").where("ref_id > 0")
-    best = ranked.groupBy("field_name", "value").agg(F.min(F.struct("cost", (-F.col("typed")).alias("t"), "ref_id")).alias("b"))
-    return values.join(best, ["field_name", "value"], "left").select(*values.columns, F.coalesce("b.ref_id", F.lit(0)).alias("ref_id"), F.coalesce("b.cost", F.lit(float("inf"))).alias("cost"))
+    best = each.mapInPandas(rank, "field_name string, value string, found_id int, found_cost double")
+    return values.join(best, ["field_name", "value"], "left").select(*[values[c] for c in values.columns if c not in ("ref_id", "cost")], F.coalesce("found_id", F.lit(0)).alias("ref_id"), F.coalesce("found_cost", F.lit(float("inf"))).alias("cost"))

@@ -1,10 +1,11 @@
 """Problem 8: the corpus as token ids of a public byte-level tokenizer.
 
-Texts fall into pre-tokens with positions. The distinct words are gathered by a
-shuffle after partial counting, each is encoded once, and the ids are joined back:
-for the commonest words, up to a fixed number, from a broadcast table; for all
-others by a shuffle join of the exploded (text, position, word) rows, reassembled
-by position.
+Texts fall into pre-tokens with positions. Blocks of texts of a bounded number of
+characters list their distinct words once; these lists are exploded, the distinct
+words of the corpus are gathered by one shuffle and encoded once each, the ids are
+joined back to (block, number, word), and every text is put together again by
+position. As a word stands once in a block however often it is used, no word is a
+hot key, and nothing depends on the size of the vocabulary.
 """
 
 from __future__ import annotations
@@ -12,14 +13,14 @@ from __future__ import annotations
 import base64
 import os
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.storage import spool, spread
@@ -28,9 +29,8 @@ from noticeworks.storage import spool, spread
 TOKENIZERS = os.environ.get("NOTICEWORKS_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value: the pre-tokens of byte_bpe_50k.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: At most so many words, none longer than WORD_CHARS, are broadcast: below 60 MB.
-BROADCAST_WORDS = 300_000
-WORD_CHARS = 64
+#: Texts share a block up to so many characters; a longer text is a block of its own.
+BLOCK_CHARS = 1_000_000
 
 _tools: dict = {}
 
@@ -55,48 +55,50 @@ def encoder(path: str):
     return _tools[path]
 
 
-def distinct_words(docs: DataFrame, text: str = "text", *, flush: int = 200_000) -> DataFrame:
-    """(word, n): counted within partitions first, a flush at a time, then by one shuffle."""
+def text_blocks(docs: DataFrame, *, key: str, text: str, chars: int) -> DataFrame:
+    """(block, keys, numbers, words): for each text of a block the numbers of its pre-tokens by position, and the block's distinct pre-tokens by number; null texts have null numbers."""
+    key_type = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, block = splitter(), TaskContext.get().partitionId() << 33
+
+        def packed(keys: pa.Array, flat: array, ends: list, none: list, words: dict) -> pa.RecordBatch:
+            numbers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if len(flat) else [], pa.int32()), mask=pa.array(none, pa.bool_()))
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (keys, numbers, pa.array(list(words), pa.string()))]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], ["block", "keys", "numbers", "words"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        split, seen = splitter(), Counter()
         for batch in batches:
-            for value in batch[text]:
-                seen.update(split(value))
-                if len(seen) > flush:
-                    yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                    seen = Counter()
-        if seen:
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            flat, ends, none, words, size, first = array("i"), [0], [], {}, 0, 0
+            for at, value in enumerate(batch.column(text).to_pylist()):
+                if size and size + len(value or "") > chars:
+                    yield packed(batch.column(key).slice(first, at - first), flat, ends, none, words)
+                    flat, ends, none, words, size, first, block = array("i"), [0], [], {}, 0, at, block + 1
+                none.append(value is None)
+                if value:
+                    flat.extend([words.setdefault(w, len(words)) for w in split(value)])
+                    size += len(value)
+                ends.append(len(flat))
+            if none:
+                yield packed(batch.column(key).slice(first), flat, ends, none, words)
+                block += 1
 
-    partial = spread(docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(text)).mapInPandas(count, "word string, n long")
-    return partial.groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.select(key, text)).mapInArrow(run, f"block long, keys array<{key_type}>, numbers array<array<int>>, words array<string>")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): each distinct word encoded once."""
+    """(word, ids): each distinct word encoded once."""
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path)
-        for frame in frames:
+        for batch in batches:
             # A pre-token passed alone is one pre-token again.
-            yield frame.assign(ids=[tool.encode_ordinary(w) for w in frame["word"]])
-
-    return words.mapInPandas(encode, "word string, n long, ids array<int>")
+            ids = [tool.encode_ordinary(w) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
+    return words.mapInArrow(encode, "word string, ids array<int>")
 
-def common_words(spark: SparkSession, vocabulary: DataFrame, limit: int) -> tuple[Broadcast, bool]:
-    """The broadcast table of the commonest words, and whether it holds all words."""
-    total, fit = vocabulary.agg(F.count("*"), F.count(F.when(F.length("word") <= WORD_CHARS, 1))).first()
-    least = 0
-    if fit > limit:
-        least = vocabulary.where(F.length("word") <= WORD_CHARS).agg(F.percentile_approx("n", 1.0 - limit / fit, 10_000)).first()[0]
-    table = vocabulary.where((F.length("word") <= WORD_CHARS) & (F.col("n") > least)).select("word", "ids").toPandas()
-    words = {w: array("i", ids) for w, ids in zip(table["word"], table["ids"], strict=True)}
-    return spark.sparkContext.broadcast(words), len(words) == total
 
-
-def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", path: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(key, ids array<int>) of every row, without special tokens.
 
     Defined cases: a null text has null ids, an empty text an empty list; repeated
@@ -104,67 +106,48 @@ def encode_corpus(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     length are encoded whole; an empty table gives no rows.
     """
     path = path or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-    spark = docs.sparkSession
-    vocabulary = spool(encode_words(distinct_words(docs, text), path), "vocabulary")
-    sent, complete = common_words(spark, vocabulary, broadcast_words)
-    key_type = docs.schema[key].dataType
+    key_type = docs.schema[key].dataType.simpleString()
+    blocks = spool(text_blocks(docs, key=key, text=text, chars=block_chars), "blocks")
+    used = blocks.select("block", F.posexplode("words").alias("number", "word"))
+    vocabulary = encode_words(used.select("word").distinct(), path)
+    found = used.join(vocabulary.hint("shuffle_hash"), "word").groupBy("block").agg(F.collect_list(F.struct("number", "ids")).alias("found"))
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = splitter(), sent.value
+    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, ends, gap_at, gap_word, gap_ends, valid = array("i"), [0], [], [], [0], []
-            for value in batch.column(text).to_pylist():
-                valid.append(value is None)
-                for word in split(value) if value else ():
-                    ids = known.get(word)
-                    if ids is None:
-                        gap_at.append(len(flat) - ends[-1])
-                        gap_word.append(word)
-                    else:
-                        flat.extend(ids)
-                ends.append(len(flat))
-                gap_ends.append(len(gap_at))
-            ids_column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if len(flat) else [], pa.int32()), mask=pa.array(valid))
-            gaps = pa.StructArray.from_arrays([pa.array(gap_at, pa.int32()), pa.array(gap_word, pa.string())], ["at", "word"])
-            yield pa.RecordBatch.from_arrays([batch.column(key), ids_column, pa.ListArray.from_arrays(pa.array(gap_ends, pa.int32()), gaps)], [key, "ids", "gaps"])
-
-    schema = f"`{key}` {key_type.simpleString()}, ids array<int>, gaps array<struct<at:int,word:string>>"
-    encoded = spread(docs.select(key, text)).mapInArrow(encode, schema)
-    if complete:
-        return encoded.select(key, "ids")
-    held = spool(encoded.withColumn("_row", F.monotonically_increasing_id()), "encoded")
-    missing = held.where(F.size("gaps") > 0).select("_row", F.posexplode("gaps").alias("pos", "gap")).select("_row", "pos", "gap.at", "gap.word")
-    found = missing.join(vocabulary.select("word", F.col("ids").alias("word_ids")), "word").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "at", "word_ids"))).alias("fill"))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for ids, gaps in zip(batch.column("ids").to_pylist(), batch.column("fill").to_pylist(), strict=True):
-                if gaps:
-                    whole, start = [], 0
-                    for gap in gaps:
-                        whole += ids[start : gap["at"]] + gap["word_ids"]
-                        start = gap["at"]
-                    ids = whole + ids[start:]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(out, pa.list_(pa.int32()))], [key, "ids"])
-
-    return held.select(key, "ids", "_row").join(found, "_row", "left").select(key, "ids", "fill").mapInArrow(fill, f"`{key}` {key_type.simpleString()}, ids array<int>")
+            for keys, numbers, pairs in zip(batch.column("keys"), batch.column("numbers"), batch.column("found"), strict=True):
+                start, size, flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+                if pairs.is_valid:
+                    number, ids = pairs.values.flatten()
+                    flat, number, sizes = ids.flatten().to_numpy(), number.to_numpy(), pc.list_value_length(ids).to_numpy().astype(np.int64)
+                    start, size = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+                    start[number], size[number] = np.cumsum(sizes) - sizes, sizes
+                at = numbers.values.flatten().to_numpy()
+                long = size[at]
+                upto = np.concatenate([[0], np.cumsum(long)])
+                out = flat[np.repeat(start[at] - upto[:-1], long) + np.arange(upto[-1])]
+                lengths = pc.fill_null(pc.list_value_length(numbers.values), 0).to_numpy()
+                ends = upto[np.concatenate([[0], np.cumsum(lengths)])]
+                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()), mask=numbers.values.is_null())
+                yield pa.RecordBatch.from_arrays([keys.values, column], [key, "ids"])
+
+    return blocks.select("block", "keys", "numbers").join(found, "block", "left").select("keys", "numbers", "found").mapInArrow(reassemble, f"`{key}` {key_type}, ids array<int>")
 
 
 def decode_corpus(encoded: DataFrame, *, key: str = "doc_id", path: str | None = None) -> DataFrame:
     """(key, text): ids exploded with positions, joined with the token-byte table and put together by position.
 
-    The token table has as many rows as the vocabulary file, 50,256 here. Rows with
-    one key must be one text; null ids give a null text and an empty list ''.
+    The token table has as many rows as the vocabulary file, 50,256 here. Rows are
+    told apart by number, so repeated keys keep their rows; null ids give a null text
+    and an empty list ''.
     """
     path = path or f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     spark = encoded.sparkSession
     with open(path, "rb") as f:
         table = pd.DataFrame([(int(b), base64.b64decode(a)) for a, b in map(bytes.split, f)], columns=["id", "bytes"])
     tokens = F.broadcast(spark.createDataFrame(table, "id int, bytes binary"))
-    rows = encoded.select(F.col(key), F.posexplode_outer("ids").alias("pos", "id"), F.col("ids").isNull().alias("none"))
-    joined = rows.join(tokens, "id", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "bytes")))).alias("parts"), F.bool_and("none").alias("none"))
+    held = spool(encoded.select(key, "ids"), "ids").withColumn("_row", F.monotonically_increasing_id())
+    rows = held.select(F.col(key), "_row", F.posexplode_outer("ids").alias("pos", "id"), F.col("ids").isNull().alias("none"))
+    joined = rows.join(tokens, "id", "left").groupBy("_row").agg(F.first(key).alias(key), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "bytes")))).alias("parts"), F.bool_and("none").alias("none"))
     hexed = F.array_join(F.transform("parts", lambda p: F.hex(p["bytes"])), "")
     return joined.select(key, F.when(~F.col("none"), F.decode(F.unhex(hexed), "UTF-8")).alias("text"))
 

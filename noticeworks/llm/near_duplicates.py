@@ -148,11 +148,13 @@ def similar_sets(sets: DataFrame, *, threshold: float = 0.75, rows: int = 6, ban
     return met.select("a", "b", (shared / union).alias("similarity")).where(shared >= threshold * union - 1e-9).select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "similarity")
 
 
-def connected_groups(nodes: DataFrame, links: DataFrame, *, max_rounds: int = 40) -> DataFrame:
+def connected_groups(nodes: DataFrame, links: DataFrame, *, max_rounds: int = 200) -> DataFrame:
     """(rep, group_rep): the least rep that links reach, by alternating large-star and small-star rounds until nothing changes.
 
     Each round is two group-bys with partial aggregation; the links of each round
-    are written to the shared folder. Nothing is collected but a count.
+    are written to the shared folder. Nothing is collected but a count. The number
+    of rounds grows with the logarithm of the number of links; a run that is not done
+    after ``max_rounds`` raises an error rather than return half groups.
     """
     edges = spool(links.select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")).where("u <> v").distinct(), "links")
     for _ in range(max_rounds):
@@ -167,6 +169,8 @@ def connected_groups(nodes: DataFrame, links: DataFrame, *, max_rounds: int = 40
         edges = after
         if same:
             break
+    else:
+        raise RuntimeError(f"groups are still growing after {max_rounds} rounds")
     return nodes.select("rep").join(edges.groupBy(F.col("v").alias("rep")).agg(F.min("u").alias("up")), "rep", "left").select("rep", F.coalesce("up", "rep").alias("group_rep"))
 
 
@@ -174,16 +178,39 @@ def ad_word_sets(ads: DataFrame, *, min_words: int = 60) -> tuple[DataFrame, Dat
     """(members, sets): ads with enough words by their word set, and each distinct set of an institution once.
 
     members: (block, rep, ad_id). sets: (rep, block, words). rep is a hash of the
-    institution and the sorted words.
+    institution and the sorted words; that no two sets share one is checked.
     """
     own = ads.where("id is not null and institution_id is not null").select(
         F.col("id").alias("ad_id"), "snapshot_fetched_at", F.col("institution_id").alias("block"), words_of(F.col("raw_text_excerpt")).alias("own"), words_of(F.col("title")).alias("head")
     ).where(F.size("own") >= min_words)
     words = own.select("ad_id", "snapshot_fetched_at", "block", F.array_sort(F.array_union("own", "head")).alias("words"))
-    bags = spool(words.withColumn("rep", F.xxhash64("block", F.array_join("words", " "))), "bags")
+    joined = F.array_join("words", " ")
+    bags = spool(words.withColumns({"rep": F.xxhash64("block", joined), "check": F.xxhash64(F.lit("check"), joined, "block")}), "bags")
+    if not bags.groupBy("rep").agg((F.min("check") != F.max("check")).alias("two")).where("two").isEmpty():
+        raise RuntimeError("two different word sets have the same hash of 64 bits")
     sets = bags.groupBy("rep").agg(F.first("block").alias("block"), F.first("words").alias("words"))
     members = bags.groupBy("ad_id").agg(F.max(F.struct("snapshot_fetched_at", "rep", "block")).alias("r")).select("r.block", "r.rep", "ad_id")
-    return members, sets
+    return spool(members, "members"), sets
+
+
+def expanded(pairs: DataFrame, members: DataFrame, *, chunk: int = 256) -> DataFrame:
+    """(ad_id_a < ad_id_b, similarity) of all members of the linked sets, and of the members of one set.
+
+    The members of a set are cut into chunks; a link is repeated for each pair of
+    chunks and meets them on (set, chunk), so a set that a third of all ads share is
+    spread over many tasks. The rows that come out are those asked for.
+    """
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / chunk).cast("int"))
+    cells = members.join(sizes, "rep").select("rep", F.pmod(F.xxhash64("ad_id"), F.col("parts")).cast("int").alias("part"), "ad_id")
+    links = pairs.select("rep_a", "rep_b", "similarity").unionByName(sizes.where("n > 1").select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b"), F.lit(1.0).alias("similarity")))
+    counts = sizes.select("rep", "parts")
+    wide = links.join(counts.toDF("rep_a", "parts_a"), "rep_a").join(counts.toDF("rep_b", "parts_b"), "rep_b")
+    wide = wide.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)))
+    first = F.when(F.col("rep_a") == F.col("rep_b"), F.col("part_a")).otherwise(0)
+    wide = wide.select("rep_a", "rep_b", "similarity", "part_a", F.explode(F.sequence(first, F.col("parts_b") - 1)).alias("part_b"))
+    met = wide.join(cells.toDF("rep_a", "part_a", "x"), ["rep_a", "part_a"]).join(cells.toDF("rep_b", "part_b", "y"), ["rep_b", "part_b"])
+    twice = (F.col("rep_a") == F.col("rep_b")) & (F.col("part_a") == F.col("part_b")) & (F.col("x") >= F.col("y"))
+    return met.where(~twice).select(F.least("x", "y").alias("ad_id_a"), F.greatest("x", "y").alias("ad_id_b"), "similarity")
 
 
 def similar_ads(ads: DataFrame, *, threshold: float = 0.75, min_words: int = 60) -> DataFrame:
@@ -197,14 +224,7 @@ def similar_ads(ads: DataFrame, *, threshold: float = 0.75, min_words: int = 60)
     with itself; an empty table gives no rows.
     """
     members, sets = ad_word_sets(ads, min_words=min_words)
-    pairs = similar_sets(sets, threshold=threshold)
-    copies = members.select("rep", F.col("ad_id").alias("x")).join(members.select("rep", F.col("ad_id").alias("y")), "rep").where("x < y").select(F.col("x").alias("ad_id_a"), F.col("y").alias("ad_id_b"), F.lit(1.0).alias("similarity"))
-    across = (
-        pairs.join(members.select(F.col("rep").alias("rep_a"), F.col("ad_id").alias("x")), "rep_a")
-        .join(members.select(F.col("rep").alias("rep_b"), F.col("ad_id").alias("y")), "rep_b")
-        .select(F.least("x", "y").alias("ad_id_a"), F.greatest("x", "y").alias("ad_id_b"), "similarity")
-    )
-    return copies.unionByName(across)
+    return expanded(similar_sets(sets, threshold=threshold), members)
 
 
 def ad_groups(ads: DataFrame, *, threshold: float = 0.75, min_words: int = 60) -> DataFrame:

@@ -45,7 +45,7 @@ def _mapped(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     names = table(spark, root, "canonical_names").select("field_name", F.col("canonical_name").alias("value")).distinct()
-    return _mapped(spark, root).join(F.broadcast(names), ["field_name", "value"], "left_anti").select("ad_id", "field_name", "ref_id")
+    return _mapped(spark, root).join(names, ["field_name", "value"], "left_anti").select("ad_id", "field_name", "ref_id")
 
 
 def p3_misses(spark: SparkSession, root: str) -> DataFrame:

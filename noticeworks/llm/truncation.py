@@ -46,7 +46,7 @@ WITH latest AS (
   SELECT id, max(struct(snapshot_fetched_at, _source_method, raw_text_excerpt, pdf_excerpt)) AS r
   FROM {view} WHERE id IS NOT NULL GROUP BY id
 ), long AS (
-  SELECT id, r._source_method AS source, f.field_name, f.text, right(f.text, 16) RLIKE r'{OMISSION}' AS omitted
+  SELECT id, r._source_method AS source, f.field_name, f.text, right(trim(TRAILING ' \t\r\n' FROM f.text), 16) RLIKE r'{OMISSION}' AS omitted
   FROM latest LATERAL VIEW explode(array(
     named_struct('field_name', 'raw_text_excerpt', 'text', r.raw_text_excerpt),
     named_struct('field_name', 'pdf_excerpt', 'text', r.pdf_excerpt))) AS f

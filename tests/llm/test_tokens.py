@@ -18,10 +18,10 @@ def docs(spark):
     return spark.createDataFrame([(k, t, "clash") for k, t in enumerate(TEXTS)] + [(0, TEXTS[0], "clash"), (None, "null key", "c")], "doc_id long, text string, ids string")
 
 
-@pytest.mark.parametrize("words", [300_000, 5, 1])
-def test_ids_equal_the_tokenizer(spark, docs, words):
+@pytest.mark.parametrize("chars", [1_000_000, 40, 1])
+def test_ids_equal_the_tokenizer(spark, docs, chars):
     tool = encoding.encoder(PATH)
-    got = encoding.encode_corpus(docs, broadcast_words=words).collect()
+    got = encoding.encode_corpus(docs, block_chars=chars).collect()
     assert len(got) == len(TEXTS) + 2
     for r in got:
         if r.doc_id is not None:
@@ -34,11 +34,18 @@ def test_round_trip_and_counts(spark, docs):
     ids = encoding.encode_corpus(one)
     back = {r.doc_id: r.text for r in encoding.decode_corpus(ids).collect()}
     assert back == dict(enumerate(TEXTS))
+    assert encoding.decode_corpus(encoding.encode_corpus(docs)).count() == len(TEXTS) + 2
     sizes = {r.doc_id: r.n_tokens for r in encoding.token_counts(one).collect()}
     assert sizes == {r.doc_id: len(r.ids or []) for r in ids.collect()}
     assert encoding.encode_corpus(docs.limit(0)).count() == 0
 
 
+def test_ids_come_by_shuffle(spark, docs):
+    plan = encoding.encode_corpus(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode(words") == 1 or plan.count("Generate") >= 1
+    assert "Broadcast" not in plan and plan.count("ShuffledHashJoin") == 1 and "SortMergeJoin" in plan
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(0, 40), st.dictionaries(st.integers(1, 25), st.integers(1, 3), max_size=5))
 def test_fullest_rest_is_optimal(room, counts):
