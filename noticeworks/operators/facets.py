@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions.dates import deadline_rank
-from noticeworks.functions.text import search_condition
 
 RANK_GROUPS = ["faculty", "associate", "full", "research", "visiting"]
 SORTS = ["closing", "newest", "field", "inst"]
@@ -68,7 +67,7 @@ def reserved(breakdown: Column, text: Column) -> Column:
 
 
 def predicates(spec: FilterSpec, as_of: date) -> dict[str, Column]:
-    """The predicate of each active dimension of enriched ads (fields, relevance, inst_type, state, rank flags, folded haystack)."""
+    """The predicate of each active dimension of enriched ads (fields, relevance, inst_type, state, rank flags, query_hit)."""
     found: dict[str, Column] = {}
     if spec.fields:
         found["field"] = F.arrays_overlap("fields", F.array(*[F.lit(v) for v in sorted(spec.fields)]))
@@ -84,7 +83,7 @@ def predicates(spec: FilterSpec, as_of: date) -> dict[str, Column]:
             hit = hit | F.col(f"is_{r}")
         found["rank"] = hit
     if spec.query.strip():
-        found["query"] = search_condition(F.col("folded"), spec.query)
+        found["query"] = F.col("query_hit")
     if spec.closing_within is not None:
         found["closing"] = F.datediff("closing_date", F.lit(as_of)).between(0, spec.closing_within)
     if spec.reserved_only:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from noticeworks.functions.text import keywords, normalized
 from noticeworks.functions.urls import url_key
-from noticeworks.operators.ranking import best_per_group, first_wins, with_margin
+from noticeworks.operators.ranking import best_per_group, first_wins
+from noticeworks.storage import spool
 
 
 def references(manifest: DataFrame) -> DataFrame:
@@ -49,12 +50,14 @@ def pair_score(ad: dict[str, Column], pos: dict[str, Column]) -> Column:
 def scored_pairs(ads: DataFrame, positions: DataFrame, manifest: DataFrame) -> DataFrame:
     """(filename, ad_id, position_id, n_refs, score) of the ads and positions of one file.
 
-    The join is on the file; a file holds a handful of each. Wide texts shrink to
-    word arrays before they are shuffled.
+    The join is on the file; a file holds a handful of each. Only ads that a file
+    refers to are read into words, and wide texts shrink to word arrays before they
+    are shuffled.
     """
     refs = references(manifest)
     counts = refs.groupBy("filename").agg(F.count("*").alias("n_refs"))
-    a = ads.select(
+    asked = ads.join(refs.select(F.col("ad_id").alias("id")).distinct(), "id", "left_semi")
+    a = asked.select(
         F.col("id").alias("ad_id"), normalized(F.col("title")).alias("a_title"), normalized(F.col("department")).alias("a_dept"), normalized(F.col("discipline")).alias("a_disc"),
         keywords(F.concat_ws(" ", "title", "department", "discipline", "pdf_excerpt", "raw_text_excerpt")).alias("a_words"), "snapshot_fetched_at",
     )
@@ -74,10 +77,10 @@ def scored_pairs(ads: DataFrame, positions: DataFrame, manifest: DataFrame) -> D
 
 def chosen_pairs(pairs: DataFrame, *, least: int = 10, margin: int = 2, sure: int = 18) -> DataFrame:
     """The pairs to attach: all positions of a file with one ad; else the best of each ad if it scores ``least`` and leads by ``margin`` or is ``sure``."""
-    lone = pairs.where("n_refs = 1").select("filename", "ad_id", "position_id", "score")
-    best = with_margin(pairs.where("n_refs > 1"), ["filename", "ad_id"], "score", [F.col("position_id")])
-    good = (F.col("score") >= least) & ((F.coalesce("margin", F.col("score") + 1) >= margin) | (F.col("score") >= sure))
-    return lone.unionByName(best.where(good).select("filename", "ad_id", "position_id", "score"))
+    w = Window.partitionBy("filename", "ad_id").orderBy(F.col("score").desc(), "position_id")
+    ranked = pairs.withColumns({"_rank": F.row_number().over(w), "_next": F.lead("score").over(w)})
+    good = (F.col("score") >= least) & (F.col("_next").isNull() | (F.col("score") - F.col("_next") >= margin) | (F.col("score") >= sure))
+    return ranked.where((F.col("n_refs") == 1) | ((F.col("_rank") == 1) & good)).select("filename", "ad_id", "position_id", "score")
 
 
 def richness(areas: Column, raw: Column, confidence: Column) -> Column:
@@ -98,22 +101,30 @@ def prioritised_lookup(rows: DataFrame, keys: list[Column], table: DataFrame, ke
     return found.groupBy("id").agg(F.min(F.struct("_p", "_v"))["_v"].alias(value))
 
 
-def outside_bands(rows: DataFrame, value: str, bands: DataFrame, low: str, high: str) -> DataFrame:
+def outside_bands(rows: DataFrame, value: str, bands: DataFrame, low: str, high: str, *, parts: int | None = None) -> DataFrame:
     """The rows whose value lies in none of the bands.
 
-    Bands are first merged where they overlap; a value then needs only the last band
-    that starts before it, found by one pass over the sorted union of bands and
-    distinct values, so no row meets every band.
+    A value is covered if some band that starts at or before it reaches it, so the
+    furthest end seen so far is all that counts. Bands and distinct values are sorted
+    by ranges: each range finds its own running maximum, and what the ranges before it
+    reached is one number for each range, which comes over the driver.
     """
-    w = Window.orderBy(low, high)
-    ordered = bands.where(f"`{low}` is not null and `{high}` >= `{low}`").select(F.col(low), F.col(high))
-    reach = F.max(high).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    merged = ordered.withColumn("_new", F.when(F.coalesce(F.col(low) > reach, F.lit(True)), 1).otherwise(0)).withColumn("_g", F.sum("_new").over(w)).groupBy("_g").agg(F.min(low).alias("_lo"), F.max(high).alias("_hi"))
+    spark = rows.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = bands.schema[high].dataType
+    ends = bands.where(f"`{low}` is not null and `{high}` >= `{low}`").groupBy(F.col(low).alias("_lo")).agg(F.max(high).alias("_hi"))
     values = rows.select(F.col(value).alias("_lo")).where(F.col(value).isNotNull()).distinct()
-    both = merged.select("_lo", "_hi", F.lit(0).alias("_kind")).unionByName(values.select("_lo", F.lit(None).cast(bands.schema[high].dataType).alias("_hi"), F.lit(1).alias("_kind")))
-    seen = both.withColumn("_last", F.last("_hi", ignorenulls=True).over(Window.orderBy("_lo", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    inside = seen.where("_kind = 1 and _last >= _lo").select(F.col("_lo").alias(value))
-    return rows.join(inside, value, "left_anti")
+    both = ends.withColumn("_value", F.lit(False)).unionByName(values.withColumns({"_hi": F.lit(None).cast(kind), "_value": F.lit(True)}))
+    ranged = spool(both.repartitionByRange(parts, "_lo").withColumn("_part", F.spark_partition_id()), "ranges")
+    reach, before = None, []
+    for r in ranged.groupBy("_part").agg(F.max("_hi").alias("hi")).orderBy("_part").collect():  # one row for each range
+        before.append((r["_part"], reach))
+        reach = r.hi if reach is None or r.hi is not None and r.hi > reach else reach
+    carried = spark.createDataFrame(before, ranged.select("_part", F.col("_hi").alias("_before")).schema)
+    w = Window.partitionBy("_part").orderBy("_lo", "_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = ranged.withColumn("_own", F.max("_hi").over(w)).join(carried, "_part")
+    covered = seen.where("_value and greatest(_own, _before) >= _lo").select(F.col("_lo").alias(value))
+    return rows.join(covered, value, "left_anti")
 
 
 def roster_of_unit(positions: DataFrame, rosters: DataFrame) -> DataFrame:

@@ -31,29 +31,46 @@ def query(sql: str | None = None):
     return add
 
 
+def latest(rows: DataFrame, *columns: str) -> DataFrame:
+    """(id, snapshot_fetched_at, columns): each id once, by its latest delivery.
+
+    Only the columns asked for are shuffled, and only the time and a hash decide, so
+    that no text is compared; derive flags before, and texts need not travel.
+    """
+    order = F.struct("snapshot_fetched_at", F.xxhash64(F.lit(0), *columns))
+    kept = rows.where("id is not null").groupBy("id").agg(F.max_by(F.struct("snapshot_fetched_at", *columns), order).alias("r"))
+    return kept.select("id", "r.*")
+
+
 def latest_ads(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     """Each ad once, by its latest delivery."""
-    kept = table(spark, root, "job_ads").where("id is not null").groupBy("id").agg(F.max(F.struct("snapshot_fetched_at", *columns)).alias("r"))
-    return kept.select("id", "r.*")
+    return latest(table(spark, root, "job_ads"), *columns)
 
 
 _LATEST = "ads AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY snapshot_fetched_at DESC) AS rn FROM job_ads WHERE id IS NOT NULL) WHERE rn = 1)"
 
 
-def enriched(spark: SparkSession, root: str) -> DataFrame:
-    """Ads with their institution and every classifier column, computed once."""
-    ads = latest_ads(spark, root, "institution_id", "title", "department", "discipline", "post_type", "closing_date", "publication_date", "category_breakdown", "raw_text_excerpt", "structured_position")
-    inst = table(spark, root, "institutions").select(F.col("id").alias("institution_id"), "inst_name", "inst_type", "state", "city", "lat", "lon")
-    x = ads.join(inst, "institution_id", "left")
+def enriched(spark: SparkSession, root: str, *columns: str, spec: facets.FilterSpec | None = None) -> DataFrame:
+    """Ads with their institution and the classifier columns asked for.
+
+    Every column is derived where the row is read; ``query_hit`` answers the query of
+    ``spec``. What is not asked for is not even read.
+    """
+    inst = table(spark, root, "institutions").select(F.col("id").alias("institution_id"), "inst_name", "short_name", "inst_type", "state", "city")
+    x = table(spark, root, "job_ads").join(inst, "institution_id", "left")
     core = F.lower(F.concat_ws(" | ", "title", "department", "discipline"))
-    ranks = F.col("structured_position.ranks")
-    flags = facets.rank_flags(F.col("title"), ranks, F.col("post_type"))
+    sp = F.col("structured_position")
+    flags = facets.rank_flags(F.col("title"), sp["ranks"], F.col("post_type"))
     tags = all_matches(core, banks.FIELDS)
     x = x.withColumn("fields", F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit("Other"))))
     x = x.withColumns({f"is_{k}": F.coalesce(v, F.lit(False)) for k, v in flags.items()})
     relevance = F.when(F.exists("fields", lambda f: f.isin(*banks.HUMANITIES)), "hss").when(F.col("fields")[0] == "Other", "other").otherwise("non-hss")
-    folded = text.normalized(text.haystack(F.col("city"), F.col("state"), F.col("title"), F.col("department"), F.col("discipline"), F.col("inst_name"), F.col("raw_text_excerpt")), ascii_only=True)
-    return x.withColumns({"field": F.col("fields")[0], "relevance": relevance, "folded": folded, "is_reserved": facets.reserved(F.col("category_breakdown"), F.concat_ws(" ", "title", "raw_text_excerpt"))})
+    hay = text.haystack(*[F.col(c) for c in ("city", "state", "title", "department", "discipline", "inst_name", "short_name", "raw_text_excerpt", "pdf_excerpt")], sp["department"], sp["discipline"], F.concat_ws(" ", sp["areas"]))
+    x = x.withColumns({"field": F.col("fields")[0], "relevance": relevance, "is_reserved": facets.reserved(F.col("category_breakdown"), F.concat_ws(" ", "title", "raw_text_excerpt"))})
+    if spec and spec.query.strip():
+        x = x.withColumn("query_hit", text.search_condition(text.normalized(hay, ascii_only=True), spec.query))
+        columns = (*columns, "query_hit")
+    return latest(x, *columns)
 
 
 def _sql_fields(core: str) -> str:
@@ -64,12 +81,12 @@ def _sql_fields(core: str) -> str:
 _HSS = ", ".join(f"'{f}'" for f in banks.HUMANITIES)
 _ENRICHED = rf"""{_LATEST}, e0 AS (
   SELECT a.id, a.institution_id, a.title, a.post_type, a.closing_date, a.publication_date, a.category_breakdown AS cb, a.raw_text_excerpt, i.inst_name, i.inst_type, i.state, i.lat, i.lon, i.city,
-         a.department, a.discipline, a.structured_position.ranks AS ranks, lower(concat_ws(' | ', a.title, a.department, a.discipline)) AS core
+         a.department, a.discipline, a.structured_position.ranks AS ranks, i.short_name, a.pdf_excerpt, a.structured_position.department AS sp_department, a.structured_position.discipline AS sp_discipline, a.structured_position.areas AS sp_areas, lower(concat_ws(' | ', a.title, a.department, a.discipline)) AS core
   FROM ads a LEFT JOIN institutions i ON a.institution_id = i.id
 ), e1 AS (
   SELECT *, {_sql_fields("core")} AS tags, lower(concat_ws(' | ', nullif(list_aggregate(coalesce(ranks, []), 'string_agg', ' | '), ''))) AS listed,
          lower(concat_ws(' ', title, nullif(list_aggregate(coalesce(ranks, []), 'string_agg', ' '), ''))) AS t, lower(coalesce(title, '')) AS head, coalesce(post_type, '') AS kind,
-         trim(regexp_replace(replace(lower(concat_ws(' ', city, state, title, department, discipline, inst_name, raw_text_excerpt)), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS folded
+         trim(regexp_replace(replace(lower(concat_ws(' ', city, state, title, department, discipline, inst_name, short_name, raw_text_excerpt, pdf_excerpt, sp_department, sp_discipline, nullif(list_aggregate(coalesce(sp_areas, []), 'string_agg', ' '), ''))), '&', ' and '), '[^a-z0-9]+', ' ', 'g')) AS folded
   FROM e0
 ), e AS (
   SELECT *, CASE WHEN len(tags) > 0 THEN tags ELSE ['Other'] END AS fields, CASE WHEN len(tags) > 0 THEN tags[1] ELSE 'Other' END AS field,
@@ -85,6 +102,8 @@ _ENRICHED = rf"""{_LATEST}, e0 AS (
   FROM e1
 )"""
 
+RANKS = [f"is_{r}" for r in facets.RANK_GROUPS]
+FACETS = ["fields", "relevance", "inst_type", "state", *RANKS]
 SPEC = facets.FilterSpec(query="postdoctoral quantum", relevance=frozenset(["non-hss", "hss"]), ranks=frozenset(["research", "faculty"]))
 _ALIAS = "(" + " OR ".join(f"contains(' ' || folded || ' ', ' {v} ')" for v in ("postdoc", "post doc", "postdoctoral", "post doctoral")) + ")"
 _SPEC = {"relevance": "relevance IN ('hss', 'non-hss')", "rank": "(is_research OR is_faculty)", "query": f"({_ALIAS} AND contains(folded, 'quantum'))"}
@@ -92,12 +111,12 @@ _SPEC = {"relevance": "relevance IN ('hss', 'non-hss')", "rank": "(is_research O
 
 @query(f"WITH {_ENRICHED} SELECT id, field, relevance FROM e WHERE {' AND '.join(_SPEC.values())}")
 def facet_filter(spark: SparkSession, root: str) -> DataFrame:
-    return facets.filtered(enriched(spark, root), SPEC, AS_OF).select("id", "field", "relevance")
+    return facets.filtered(enriched(spark, root, "field", "relevance", *RANKS, spec=SPEC), SPEC, AS_OF).select("id", "field", "relevance")
 
 
 @query(f"WITH {_ENRICHED} SELECT id, closing_date FROM e WHERE date_diff('day', DATE '{AS_OF}', closing_date) BETWEEN 0 AND 7 AND is_reserved")
 def closing_soon_reserved(spark: SparkSession, root: str) -> DataFrame:
-    return facets.filtered(enriched(spark, root), facets.FilterSpec(closing_within=7, reserved_only=True), AS_OF).select("id", "closing_date")
+    return facets.filtered(enriched(spark, root, "closing_date", "is_reserved"), facets.FilterSpec(closing_within=7, reserved_only=True), AS_OF).select("id", "closing_date")
 
 
 def _facet_sql(active: dict[str, str]) -> str:
@@ -111,12 +130,12 @@ def _facet_sql(active: dict[str, str]) -> str:
 
 @query(_facet_sql({}))
 def facet_counts_static(spark: SparkSession, root: str) -> DataFrame:
-    return facets.facet_counts(enriched(spark, root), facets.FilterSpec(), AS_OF)
+    return facets.facet_counts(enriched(spark, root, *FACETS), facets.FilterSpec(), AS_OF)
 
 
 @query(_facet_sql(_SPEC))
 def facet_counts_reactive(spark: SparkSession, root: str) -> DataFrame:
-    return facets.facet_counts(enriched(spark, root), SPEC, AS_OF)
+    return facets.facet_counts(enriched(spark, root, *FACETS, spec=SPEC), SPEC, AS_OF)
 
 
 _PLACE = f"CASE WHEN list_position([{', '.join(repr(f) for f in banks.FIELD_ORDER)}], field) > 0 THEN list_position([{', '.join(repr(f) for f in banks.FIELD_ORDER)}], field) ELSE {len(banks.FIELD_ORDER) + 1} END"
@@ -131,7 +150,7 @@ _SORTS = {
 
 def _page(sort: str):
     def run(spark: SparkSession, root: str) -> DataFrame:
-        return ranking.top_rows(enriched(spark, root), facets.sort_order(sort, AS_OF, banks.FIELD_ORDER), 25).select("rank", "id", "field")
+        return ranking.top_rows(enriched(spark, root, "field", "inst_name", "closing_date", "publication_date"), facets.sort_order(sort, AS_OF, banks.FIELD_ORDER), 25).select("rank", "id", "field")
 
     run.__name__ = f"sort_{sort}_page"
     return run
