@@ -37,14 +37,18 @@ _BY_LANGUAGE = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _GRAMMAR = frozenset().union(*_BY_LANGUAGE.values())
 _SCRIPTS = [("hi", "ऀ", "ॿ"), ("arab", "؀", "ۿ"), ("cyrl", "Ѐ", "ӿ"), ("hani", "一", "鿿"), ("taml", "஀", "௿"), ("beng", "ঀ", "৿"), ("telu", "ఀ", "౿")]
 LINK = re.compile(r"\[[^\[\]\n]*\]\([^()\s]*\)|<a\s[^<>]*>[^<]*</a>|(?:https?://|www\.)[^\s|)\]>\"]+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}(?:/[^\s|)\]>\"]*)?", re.I)
-_OFFER = re.compile(r"(?:rs\.?|₹|\$|€|£)\s*\d[\d,.]*|\d[\d,.]*\s*/-|-?\d+\s*%|\b(?:buy now|add to cart|in stock|best seller|best price|free shipping|order now|sku\s*\w+)\b", re.I)
-_STOP = re.compile(r"[.!?।](?=\s|$)")
+_LINKED = re.compile(r"[\w)]\.[A-Za-z]|://|\]\(|<a ")
+_PRICE = re.compile(r"(?:\brs\.?|[₹$€£])\s*\d[\d,.]*|\d[\d,.]*\s*/-|-?\d+\s*%|\bsku\s*\w+")
+#: What shops call out.
+_CALLS = ["buy now", "add to cart", "in stock", "best seller", "best price", "free shipping", "order now"]
+_PRICED = re.compile(r"\brs[. ]|[₹$€£%]|/-|\bsku|buy now|add to cart|in stock|best (?:seller|price)|free shipping|order now")
+_ENDS = ".!?।"
 _EDGE = ".,;:()[]|/•·»—–-*~>\"'“”"
 
 FEATURES = ["links", "tags", "offers", "entropy", "repetition", "grammar", "sentences", "numbers"]
 #: Where a page of one kind of spam alone lies, in the order of FEATURES.
 SPAM = {
-    "keywords": [0.0, 0.0, 0.0, 0.60, 0.70, 0.03, 0.0, 0.0],
+    "keywords": [0.0, 0.0, 0.0, 0.70, 0.60, 0.05, 0.0, 0.0],
     "links": [0.95, 0.0, 0.0, 0.90, 0.20, 0.00, 0.0, 0.0],
     "named links": [0.62, 0.0, 0.0, 0.85, 0.35, 0.03, 0.0, 0.0],
     "tags": [0.0, 0.95, 0.0, 0.75, 0.50, 0.00, 0.0, 0.0],
@@ -58,38 +62,53 @@ FLOOR = np.array([0.03, 0.03, 0.02, 0.05, 0.10, 0.04, 0.02, 0.03])
 
 def language_of(text: str, words: Counter) -> str:
     """The language by script, or 'mixed'; Latin script by function words, English where too few tell."""
-    if text.isascii() is False:
-        letters = sum(map(str.isalpha, text)) or 1
+    if not text.isascii():
+        seen = set(text)
         for name, first, last in _SCRIPTS:
-            own = sum(1 for c in text if first <= c <= last)
-            if own > 0.05 * letters:
-                return name if own > 0.4 * letters else "mixed"
-    hits = {k: sum(words[w] for w in words.keys() & own) for k, own in _BY_LANGUAGE.items() if k != "hi"}
-    best = max(hits, key=lambda k: (hits[k], k == "en"))
-    return best if hits[best] >= max(4, 2 * hits["en"]) else "en"
+            if any(first <= c <= last for c in seen):
+                own = sum(text.count(c) for c in seen if first <= c <= last)
+                letters = own + sum(text.count(c) for c in seen if c.isalpha() and not first <= c <= last)
+                if own > 0.05 * letters:
+                    return name if own > 0.4 * letters else "mixed"
+    english = sum(words[w] for w in words.keys() & _BY_LANGUAGE["en"])
+    if english >= 0.1 * words.total():
+        return "en"
+    hits = {k: sum(words[w] for w in words.keys() & own) for k, own in _BY_LANGUAGE.items() if k not in ("hi", "en")}
+    best = max(hits, key=hits.get)
+    return best if hits[best] >= max(4, 2 * english) else "en"
 
 
 def measure(text: str) -> tuple:
     """(language, items, the eight features): links, tags and words are counted as items, words two by two, because a keyword has two or more."""
-    ink = sum(map(len, text.split())) or 1
     n_links = link_ink = 0
     rest = text
-    if "." in text or "](" in text or "<a" in text:
+    if _LINKED.search(text):
+        kept, at = [], 0
         for m in LINK.finditer(text):
             n_links += 1
             link_ink += len("".join(m.group(0).split()))
+            kept.append(text[at : m.start()])
+            at = m.end()
         if n_links:
-            rest = LINK.sub(" ", text)
-    tokens = rest.lower().split()
-    n_tags = sum(1 for w in tokens if w[0] == "#" and len(w) > 1) if "#" in rest else 0
-    offers = sum(len(m.group(0)) for m in _OFFER.finditer(rest))
-    words = Counter(w for t in tokens if (w := t.strip(_EDGE)))
+            rest = " ".join([*kept, text[at:]])
+    low = rest.lower()
+    tokens = low.split()
+    raw = Counter(tokens)
+    ink = sum(len(w) * k for w, k in raw.items()) + link_ink or 1
+    n_tags = sum(k for w, k in raw.items() if w[0] == "#" and len(w) > 1) if "#" in rest else 0
+    offers = sum(len(m.group(0)) for m in _PRICE.finditer(low)) + sum(len(w) * low.count(w) for w in _CALLS) if _PRICED.search(low) else 0
+    words: Counter = Counter()
+    stops = 0
+    for token, k in raw.items():
+        if token[-1] in _ENDS:
+            stops += k
+        if word := token.strip(_EDGE):
+            words[word] += k
     n = words.total() or 1
     share = (1 - link_ink / ink) / n
-    numbers = sum(k for w, k in words.items() if w[0].isdigit() and not (len(w) == 4 and w[:2] in ("19", "20")))
+    numbers = sum(k for w, k in words.items() if w[0] in "0123456789" and not (len(w) == 4 and w[:2] in ("19", "20")))
     entropy = 1 - sum(k * math.log(k) for k in words.values() if k > 1) / (n * math.log(n)) if n > 1 else 1.0
     grammar = sum(words[w] for w in words.keys() & _GRAMMAR)
-    stops = sum(1 for _ in _STOP.finditer(rest))
     values = (link_ink / ink, n_tags * share, min(1.0, offers / ink), entropy, 1 - len(words) / n, grammar * share, min(1.0, stops * share), numbers * share)
     return language_of(text, words), n_links + n_tags + n // 2, values
 
