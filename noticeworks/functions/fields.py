@@ -15,7 +15,9 @@ from noticeworks.functions.dates import DATE, to_date
 CATEGORIES = ["ur", "sc", "st", "obc", "ews", "pwbd"]
 #: What announces a deadline, the likeliest first.
 DEADLINE_LABELS = [r"last date", r"closing date", r"on or before", r"closes at", r"until", r"deadline"]
-_ROSTER = re.compile(r"\b(UR|GEN|General|SC|ST|OBC(?:-NCL)?|EWS|PwBD|PwD)\b\s*[:=(-]?\s*(\d{1,3})\b", re.I)
+#: Fixed value: a category with its count.
+COUNTED = r"\b(UR|GEN|General|SC|ST|OBC(?:-NCL)?|EWS|PwBD|PwD)\b\s*[:=(-]?\s*(\d{1,3})\b"
+_ROSTER = re.compile(COUNTED, re.I)
 _ROSTER_NAMES = {"ur": "ur", "gen": "ur", "general": "ur", "sc": "sc", "st": "st", "obc": "obc", "obc-ncl": "obc", "ews": "ews", "pwbd": "pwbd", "pwd": "pwbd"}
 ROSTER_TYPE = StructType([StructField(c, IntegerType()) for c in CATEGORIES])
 
@@ -75,10 +77,15 @@ def publications(text: Column, most: int = 3) -> Column:
     return F.array_join(F.slice(F.array_distinct(found), 1, most), " | ")
 
 
+#: Fixed value: a statement of reserved percentages.
+RESERVED_PERCENT = r"(?i)\b\d{1,2}(?:\.\d+)?\s?(?:%|per cent).*\b(?:reserv|sc|st|obc|ews|pwbd|disabilit)|\b(?:reserv|sc|st|obc|ews|pwbd|disabilit).*\b\d{1,2}(?:\.\d+)?\s?(?:%|per cent)"
+
+
 def reservation_note(text: Column) -> Column:
-    """A statement of reserved percentages, squeezed; null without one."""
-    found = F.regexp_extract(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), r"(?i)([^.]*\b\d{1,2}(?:\.\d+)?\s?(?:%|per cent)[^.]*\b(?:reserv|SC|ST|OBC|disabilit)[^.]*\.?)", 1)
-    return F.when(found != "", F.trim(found))
+    """The first sentence that states reserved percentages, squeezed; null without one."""
+    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "), r"\.\s")
+    told = F.filter(parts, lambda p: p.rlike(RESERVED_PERCENT))
+    return F.when(text.rlike(r"(?i)%|per\s+cent"), F.trim(F.try_element_at(told, F.lit(1))))
 
 
 def is_composite(text: Column, posts: Column, peers: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from statistics import median
 
@@ -49,6 +49,13 @@ def sections(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return runs.groupBy(key, "section", "kind").agg(F.count("*").alias("n_lines"), F.min("line_no").alias("first_line"), joined.alias("text"))
 
 
+def section_lines(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, line_no, line, kind, section): lines with the number of the header they stand under, spacers left out."""
+    classed = lines.withColumn("kind", line_class(F.col("line"))).where("kind <> 'spacer'")
+    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return classed.withColumn("section", F.sum(F.when(F.col("kind") == "header", 1).otherwise(0)).over(w))
+
+
 def words_to_lines(words: DataFrame, tolerance: float = 3.5, gap: float = 1.5) -> DataFrame:
     """(pdf, page, line_no, top, x0, size, text) of word boxes (pdf, page, text, x0, x1, top, size).
 
@@ -217,9 +224,3 @@ def triage(name: Column, text: Column, by_name: Sequence[tuple[str, str]], by_te
     for label, pattern in reversed(by_name):
         kind = F.when(low.rlike(pattern), label).otherwise(kind)
     return kind
-
-
-def iter_pages(texts: Iterator[str]) -> Iterator[tuple[int, str]]:
-    """Pages of a text parted by form feeds, from 1."""
-    for text in texts:
-        yield from enumerate(text.split("\f"), 1)

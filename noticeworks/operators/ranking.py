@@ -86,3 +86,9 @@ def top_rows(rows: DataFrame, order: Sequence[Column], n: int, skip: int = 0) ->
     """A page of the sorted rows with their rank from 1: each task keeps skip + n rows, so no global sort takes place."""
     page = rows.orderBy(*order).limit(skip + n)
     return page.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") > skip)
+
+
+def best_of_large(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, unique: str, rank: str, salts: int = 64) -> DataFrame:
+    """``best_per_group`` for groups of any size: the best ``n`` of each of ``salts`` parts first, then of those."""
+    part = F.pmod(F.xxhash64(unique), F.lit(salts))
+    return best_per_group(best_per_group(rows.withColumn("_part", part), [*keys, "_part"], order, n).drop("_part"), keys, order, n, rank)

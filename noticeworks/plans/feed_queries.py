@@ -511,7 +511,13 @@ def line_kinds(spark: SparkSession, root: str) -> DataFrame:
     return lines.select("doc_id", layout.line_class(F.col("line")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query()
+_KIND = r"""CASE WHEN trim(line) = '' THEN 'spacer' WHEN regexp_matches(line, '^\s*(?:[A-Z][A-Z &,/-]{6,}|(?:annexure|schedule|section|part)\s+[-–]?\s*[A-Z0-9]{1,4}\b.*)\s*:?\s*$') THEN 'header' WHEN regexp_matches(line, '(?i)^\s*(?:[-•*▪●]\s+|\(?[a-z0-9]{1,3}[.)]\s+)') THEN 'list' ELSE 'paragraph' END"""
+
+
+@query(rf"""WITH l AS (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS ls FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM l),
+k AS (SELECT *, {_KIND} AS kind FROM u), p AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM k),
+s AS (SELECT *, sum(CASE WHEN before IS NULL OR kind <> before OR kind = 'header' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM p)
+SELECT doc_id, CAST(section AS BIGINT) AS section, kind, count(*) AS n_lines, CAST(min(line_no) AS INT) AS first_line, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM s WHERE kind <> 'spacer' GROUP BY doc_id, section, kind""")
 def text_sections(spark: SparkSession, root: str) -> DataFrame:
     return layout.sections(layout.text_lines(table(spark, root, "documents")))
 
@@ -541,8 +547,8 @@ def text_deadlines(spark: SparkSession, root: str) -> DataFrame:
 
 @query()
 def text_rosters(spark: SparkSession, root: str) -> DataFrame:
-    counts = latest_ads(spark, root, "raw_text_excerpt").where(F.col("raw_text_excerpt").rlike(r"\b(?:UR|SC|OBC)\b")).select("id", fields.roster(F.col("raw_text_excerpt")).alias("r"))
-    return counts.select("id", "r.*", fields.roster_total(F.col("r")).alias("total"))
+    counts = latest_ads(spark, root, "raw_text_excerpt").where(F.col("raw_text_excerpt").rlike(f"(?i){fields.COUNTED}")).select("id", fields.roster(F.col("raw_text_excerpt")).alias("r"))
+    return counts.select("id", "r.*", fields.roster_total(F.col("r")).alias("total")).where("total is not null")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),

@@ -36,8 +36,8 @@ def cached(log: DataFrame, now: Column, hours: int = 6) -> DataFrame:
     return log.withColumn("_rank", rank).withColumn("_n", F.row_number().over(w)).where("_n = 1").withColumn("stale", F.col("_rank") == 1).drop("_rank", "_n")
 
 
-def too_fast(log: DataFrame, seconds: float = 10.0) -> DataFrame:
-    """Requests that came to a domain sooner than allowed after the one before."""
-    before = F.lag("fetched_at").over(Window.partitionBy("domain").orderBy("fetched_at"))
+def too_fast(log: DataFrame, seconds: float = 10.0, order: str | None = None) -> DataFrame:
+    """Requests that came to a domain sooner than allowed after the one before; ``order`` parts those of one time."""
+    before = F.lag("fetched_at").over(Window.partitionBy("domain").orderBy("fetched_at", *([order] if order else [])))
     gap = F.unix_micros(F.col("fetched_at").cast("timestamp")) / 1e6 - F.unix_micros(before.cast("timestamp")) / 1e6
     return log.withColumn("gap", gap).where(F.col("gap") < seconds)

@@ -14,7 +14,6 @@ from urllib.parse import urljoin
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import StringType
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CLOSES = {"li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
@@ -111,7 +110,7 @@ def tree(html: str | None) -> Node:
 RECRUIT = r"(?i)\b(?:recruit\w*|vacanc\w+|advertisement|advt|faculty positions?|career\w*|walk[- ]?in|job opening\w*|notification)\b|भर्ती|रिक्ति"
 RECRUIT_URL = r"(?i)/(?:recruit|career|vacanc|jobs?|advt)"
 AVOID = r"(?i)^(?:home|about(?: us)?|contact(?: us)?|login|sign in|sitemap|gallery|tenders?|results?|admissions?|syllabus|alumni|back|next|previous)$"
-_AD_NUMBER = re.compile(r"\b(?:advt?\.?|advertisement|notification)\s*(?:no\.?)?\s*[:\-]?\s*([A-Z0-9][A-Z0-9/.\-]{2,40}\d)", re.I)
+AD_NUMBER = r"(?i)\b(?:advt?\.?|advertisement|notification)\s*(?:no\.?)?\s*[:\-]?\s*([A-Z0-9][A-Z0-9/.\-]{2,40}\d)"
 
 
 def is_recruitment_link(text: str, href: str, context: str = "") -> bool:
@@ -220,12 +219,10 @@ def page_title(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
 
 
-def ad_number(text: str | None) -> str | None:
-    m = _AD_NUMBER.search(text or "")
-    return m.group(1).rstrip(".-/") if m else None
-
-
-ad_number_of = F.udf(ad_number, StringType())
+def ad_number(text: Column) -> Column:
+    """The number that follows 'advertisement' and the like, without marks at its end; null without one."""
+    found = F.regexp_replace(F.regexp_extract(text, AD_NUMBER, 1), r"[./-]+$", "")
+    return F.when(found != "", found)
 
 
 def link_ads(pages: DataFrame) -> DataFrame:
@@ -235,7 +232,7 @@ def link_ads(pages: DataFrame) -> DataFrame:
     found = spark.sql("SELECT p.url AS page_url, p.fetched_at, l.* FROM {pages} p, LATERAL noticeworks_links(p.html, p.url) l WHERE l.recruits", pages=pages)
     bare = F.col("text").rlike(r"(?i)^(?:click here|here|view|download|details|read more|pdf|apply)\W*$")
     title = F.substring(F.when(bare, F.col("context")).otherwise(F.col("text")), 1, 250)
-    return found.select("page_url", "fetched_at", "url", title.alias("title"), ad_number_of(F.concat_ws(" ", "text", "context")).alias("ad_number"), "is_pdf", F.when(F.col("text").rlike(RECRUIT), 0.5).otherwise(0.4).alias("parse_confidence"))
+    return found.select("page_url", "fetched_at", "url", title.alias("title"), ad_number(F.concat_ws(" ", "text", "context")).alias("ad_number"), "is_pdf", F.when(F.col("text").rlike(RECRUIT), 0.5).otherwise(0.4).alias("parse_confidence"))
 
 
 def table_ads(pages: DataFrame, roles: dict[str, int], least_cells: int = 2) -> DataFrame:

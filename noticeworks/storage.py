@@ -36,6 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def remember(path: str) -> str:
+    """Notes a written table for ``release`` and gives its path back."""
+    _spooled.append(path)
+    return path
+
+
 def spool(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -43,8 +49,7 @@ def spool(df: DataFrame, label: str = "stage") -> DataFrame:
     outlive any executor. Column-wise and compressed, so smaller than a
     checkpoint of rows.
     """
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}.parquet"
-    _spooled.append(path)
+    path = remember(f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}.parquet")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
