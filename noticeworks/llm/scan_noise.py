@@ -3,9 +3,10 @@
 Words are counted over all texts; the common ones, whose number is bounded by
 their least share of the corpus, are the lexicon. A text is stripped of running
 headers and page numbers, its lines are joined to one stream, and around every
-word that the lexicon lacks the stream is decoded: a lattice of spans of one to
-three written pieces, joined over hyphens or gaps, split, or with misrecognised
-characters undone, each at a cost, and the cheapest path wins. Paragraph breaks
+word that the lexicon lacks the stream is decoded: a lattice of spans of written
+pieces, joined over hyphens or gaps, split, or with misrecognised characters
+undone, each at a cost, and the cheapest path wins. Running headers are known by
+their usual forms and learned from the lines that break a source's sentences. Paragraph breaks
 are chosen by dynamic programming over the line ends.
 """
 
@@ -16,12 +17,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeworks.storage import spread
+from noticeworks.storage import spool, spread
 
 #: What a scanner reads for what is printed.
 CONFUSIONS = [
@@ -31,9 +33,11 @@ CONFUSIONS = [
 ]
 LIGATURES = "ﬀﬁﬂﬃﬄ"
 HYPHENS = "-‐‑¬\xad"
-#: A lexicon word makes up at least this share of all words, over distinct texts or over rows: at most 2 / MIN_SHARE words exist, which bounds the broadcast.
-MIN_SHARE = 2e-6
+#: The lexicon holds at most so many words, the commonest by distinct texts and by rows, which bounds the broadcast; a word of fewer occurrences is none.
+MOST_WORDS = 1_000_000
 MIN_COUNT = 4
+#: A line is a running header of its source if it breaks sentences in so many texts of it, after and before as many different words.
+HEADER_TEXTS = 3
 #: A word this many times rarer than the word it becomes by undone confusions is no lexicon word.
 RARER = 25
 #: What no printed word has: ligatures, and confused digits or symbols inside letters.
@@ -85,6 +89,10 @@ class Lexicon:
     numbers: set[str]
     memo: dict[str, tuple[str, float] | None] = field(default_factory=dict)
     raw: set[str] = field(default_factory=set)
+    longest: int = 0
+
+    def __post_init__(self) -> None:
+        self.longest = max(map(len, self.share), default=0)
 
     @classmethod
     def of(cls, counts: dict[str, int], total: int, rows: dict[str, int] | None = None) -> Lexicon:
@@ -139,7 +147,7 @@ class Lexicon:
         if word in self.memo:
             return self.memo[word]
         best = None
-        if len(word) > 2 and len(word) < 40:
+        if 2 < len(word) <= self.longest + 2:  # an undone form is at most two letters shorter
             found = [(n * 4.0 - self.share[v], v) for v, n in undone(word) if v in self.share]
             if not found and self.deep(word):
                 found = [(n * 4.0 - self.share[v], v) for v, n in undone(word, 2) if v in self.share]
@@ -170,8 +178,8 @@ def _case_like(written: str, word: str) -> str:
 def decode(pieces: list[tuple[str, str]], lexicon: Lexicon) -> tuple[list[str], set[str]]:
     """The cheapest reading of written pieces, each with the mark after it: '-' a hyphen at a gap, ' ' a gap.
 
-    A span of one to three pieces is one word if joined pieces form one; a lone
-    piece can be a lexicon word, a word with confusions undone, two lexicon words
+    A span of pieces is one word if joined pieces form one, however many, as long as
+    the lexicon has words of their length; a lone piece can be a lexicon word, a word with confusions undone, two lexicon words
     written together, or unknown.
     """
     n = len(pieces)
@@ -186,7 +194,11 @@ def decode(pieces: list[tuple[str, str]], lexicon: Lexicon) -> tuple[list[str],
     for i in range(n):
         if best[i] == math.inf:
             continue
-        for j in range(i + 1, min(n, i + 3) + 1):
+        size = 0
+        for j in range(i + 1, n + 1):
+            size += len(pieces[j - 1][0])
+            if j > i + 1 and (size > lexicon.longest + 6 or j > i + 3 and not all(p[0].isalpha() for p in pieces[i : j - 1])):
+                break  # longer than any word with its marks
             span = pieces[i:j]
             hyphens = sum(mark == "-" for _, mark in span[:-1])
             gaps = j - i - 1 - hyphens
@@ -335,9 +347,10 @@ def paragraph_breaks(lines: list[str]) -> list[bool]:
     return [*labels[::-1], True]
 
 
-def repair(text: str, lexicon: Lexicon) -> Repaired:
-    """Continuous paragraphs of a scanned text, and the kinds of noise that were in it."""
+def repair(text: str, lexicon: Lexicon, headers: tuple[str, ...] = ()) -> Repaired:
+    """Continuous paragraphs of a scanned text, and the kinds of noise that were in it; ``headers`` are the forms of its source's running headers."""
     kinds: set[str] = set()
+    whole, within = header_patterns(headers) if headers else (None, None)
     lines = _LINES.split(text)
     kept: list[str] = []
     if len(lines) > 1:
@@ -347,7 +360,7 @@ def repair(text: str, lexicon: Lexicon) -> Repaired:
             after = lines[i + 1] if i + 1 < len(lines) else ""
             if bare and PAGE_LINE.fullmatch(bare):
                 kinds.add("pageno")
-            elif is_header(bare, before, after):
+            elif is_header(bare, before, after) or whole and whole.fullmatch(bare):
                 kinds.add("header")
             else:
                 kept.append(line)
@@ -355,6 +368,9 @@ def repair(text: str, lexicon: Lexicon) -> Repaired:
         kept = lines
     clean = []
     for line in kept:
+        if within and within.search(line):
+            line = within.sub(" ", line)
+            kinds.add("header")
         out, found = strip_inline(line, lexicon)
         kinds |= found
         clean.append(out)
@@ -390,7 +406,7 @@ def repair(text: str, lexicon: Lexicon) -> Repaired:
                 k += 1
                 continue
             stop = k
-            while stop < len(pieces) and stop - k < 12 and (marks[stop] or stop > k and pieces[stop - 1][1] == "-"):
+            while stop < len(pieces) and (marks[stop] or stop > k and pieces[stop - 1][1] == "-"):
                 stop += 1
             found_words, found = decode([tuple(p) for p in pieces[k:stop]], lexicon)
             words += found_words
@@ -400,10 +416,12 @@ def repair(text: str, lexicon: Lexicon) -> Repaired:
     return Repaired(out, kinds)
 
 
-def noisy_at_sight(text: str, lexicon: Lexicon) -> bool:
+def noisy_at_sight(text: str, lexicon: Lexicon, headers: tuple[str, ...] = ()) -> bool:
     """False only for a text that ``repair`` would leave without a kind of noise."""
     if "\n" in text or "\r" in text or _SUSPECT.search(text):
         return True
+    if headers and (within := header_patterns(headers)[1]) and within.search(text):
+        return True
     return any(not lexicon.knows(t) for t in set(text.split()) - lexicon.raw)
 
 
@@ -420,7 +438,7 @@ def word_counts(texts: DataFrame, *, flush: int = 200_000) -> DataFrame:
             words: Counter = Counter(beside)
             for token, n in raw.items():
                 word = core(token)
-                if word and len(word) < 40 and any(c.isalpha() for c in word):
+                if word and any(c.isalpha() for c in word):
                     words[word] += n
             return words
 
@@ -455,22 +473,60 @@ def word_counts(texts: DataFrame, *, flush: int = 200_000) -> DataFrame:
 
 def build_lexicon(texts: DataFrame) -> Lexicon:
     """The lexicon of all texts: words common over distinct texts or over rows; at most 2 / MIN_SHARE words and as many neighbours of numbers reach the driver."""
-    counts = word_counts(texts).persist()
-    total, total_rows = counts.where("word > '\x02~'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
-    common = counts.where((F.col("n") >= max(MIN_COUNT, MIN_SHARE * total)) | (F.col("n_rows") >= max(MIN_COUNT, MIN_SHARE * total_rows))).toPandas()
-    counts.unpersist()
+    counts = spool(word_counts(texts), "words")
+    total = counts.where("word > '\x02~'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kept = counts.where((F.col("n") >= MIN_COUNT) | (F.col("n_rows") >= MIN_COUNT))
+    if kept.count() > MOST_WORDS:  # the top of two orders, each kept within tasks first
+        kept = kept.orderBy(F.col("n").desc(), "word").limit(MOST_WORDS // 2).unionByName(kept.orderBy(F.col("n_rows").desc(), "word").limit(MOST_WORDS // 2)).distinct()
+    common = kept.toPandas()
     return Lexicon.of(dict(zip(common["word"], common["n"].astype(int), strict=True)), int(total), dict(zip(common["word"], common["n_rows"].astype(int), strict=True)))
 
 
+def header_form(line: Column) -> Column:
+    """A line with codes as @ and numbers as #, squeezed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, r"[A-Z]{2,6}/\d{1,4}/\d{2,4}", "@"), r"\d+", "#"), r"\s+", " "))
+
+
+def running_headers(texts: DataFrame, *, least: int = HEADER_TEXTS) -> DataFrame:
+    """(source, headers): for each source the forms of the lines that break its sentences.
+
+    A line breaks a sentence if the line before has no end mark and the line after
+    starts in lower case; page numbers between them do not count. A wrapped line of
+    the text does so too, but stands where its sentence has it: a header follows, and
+    is followed by, ``least`` different words at least, over distinct texts.
+    """
+    lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: (F.trim(x) != "") & ~x.rlike(f"(?i)^\\s*(?:{PAGE_LINE.pattern})\\s*$"))
+    each = texts.where("source is not null and text rlike '[\\r\\n]'").select("source", "text").distinct().select("source", lines.alias("l")).where("size(l) > 2")
+    three = each.select("source", F.explode(F.expr("transform(sequence(1, size(l) - 2), i -> struct(l[i - 1] AS before, l[i] AS line, l[i + 1] AS after))")).alias("x")).select("source", "x.*")
+    breaks = three.where(F.col("line").rlike(r"^\s*[A-Z0-9(\[|]") & F.col("after").rlike(r"^\s*\p{Ll}") & ~F.col("before").rlike(r"[.!?:।]\s*$") & (F.length(F.trim("line")) >= 8))
+    forms = breaks.select("source", header_form(F.col("line")).alias("form"), F.lower(F.regexp_extract("before", r"(\S+)\s*$", 1)).alias("a"), F.lower(F.regexp_extract("after", r"^\s*(\S+)", 1)).alias("b"))
+    kept = forms.groupBy("source", "form").agg(F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb")).where((F.col("na") >= least) & (F.col("nb") >= least))
+    return kept.groupBy("source").agg(F.array_sort(F.collect_list("form")).alias("headers"))
+
+
+@lru_cache(maxsize=5000)
+def header_patterns(forms: tuple[str, ...]) -> tuple[re.Pattern | None, re.Pattern | None]:
+    """Patterns of a source's headers, for a whole line and within a line; within a line only forms of capitals, with a mark, or of four words or more tell a header from a mention."""
+
+    def pattern(chosen: list[str]) -> re.Pattern | None:
+        parts = [re.escape(f).replace(r"\ ", r"\s+").replace(" ", r"\s+").replace("@", _CODE).replace(r"\#", r"\d+").replace("#", r"\d+") for f in sorted(chosen, key=lambda f: (-len(f), f))]
+        return re.compile("(?:" + "|".join(parts) + ")") if parts else None
+
+    inside = [f for f in forms if f.upper() == f or re.search(r"[|,:(@#]", f) or len(f.split()) >= 4]
+    found = pattern(inside)
+    return pattern(list(forms)), re.compile(rf"(?<!\S){found.pattern}(?!\S)") if found else None
+
+
 def scanned_texts(ads: DataFrame, positions: DataFrame) -> DataFrame:
-    """(table_name, rec_key, field_name, text) of the fields of problem 1; a repeated row is one record."""
-    a = ads.where("id is not null").select(F.lit("job_ads").alias("table_name"), F.col("id").alias("rec_key"), F.lit("pdf_excerpt").alias("field_name"), F.col("pdf_excerpt").alias("text"))
+    """(table_name, rec_key, field_name, source, text) of the fields of problem 1; a repeated row is one record."""
+    a = ads.where("id is not null").select(F.lit("job_ads").alias("table_name"), F.col("id").alias("rec_key"), F.col("institution_id").alias("source"), F.lit("pdf_excerpt").alias("field_name"), F.col("pdf_excerpt").alias("text"))
     p = positions.where("position_id is not null").select(
         F.lit("extracted_positions").alias("table_name"),
         F.col("position_id").cast("string").alias("rec_key"),
+        F.col("institution_id").alias("source"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("t")) for f in ("raw_section_text", "areas_text")])).alias("x"),
     )
-    return a.unionByName(p.select("table_name", "rec_key", F.col("x.f").alias("field_name"), F.col("x.t").alias("text"))).where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
+    return a.unionByName(p.select("table_name", "rec_key", "source", F.col("x.f").alias("field_name"), F.col("x.t").alias("text"))).where(F.col("text").isNotNull() & F.col("text").rlike(r"\S"))
 
 
 def repair_texts(texts: DataFrame, *, all_rows: bool = True) -> DataFrame:
@@ -483,22 +539,27 @@ def repair_texts(texts: DataFrame, *, all_rows: bool = True) -> DataFrame:
     are but for line wrapping; a text of any length is repaired whole; repeated rows
     give repeated rows; an empty table gives no rows.
     """
+    if "source" not in texts.columns:
+        texts = texts.withColumn("source", F.lit(None).cast("string"))
+    texts = texts.select("table_name", "rec_key", "field_name", "source", "text")
     lexicon = build_lexicon(texts)
     sent = texts.sparkSession.sparkContext.broadcast(lexicon)
+    headed = spread(texts).join(spool(running_headers(texts), "headers"), "source", "left")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = sent.value
         for frame in frames:
             rows = []
-            for table, key, name, text in zip(frame["table_name"], frame["rec_key"], frame["field_name"], frame["text"], strict=True):
-                if not all_rows and not noisy_at_sight(text, words):
+            for table, key, name, text, own in zip(frame["table_name"], frame["rec_key"], frame["field_name"], frame["text"], frame["headers"], strict=True):
+                headers = tuple(own) if own is not None else ()
+                if not all_rows and not noisy_at_sight(text, words, headers):
                     continue
-                done = repair(text, words)
+                done = repair(text, words, headers)
                 if all_rows or done.kinds:
                     rows.append((table, key, name, "\n\n".join(done.paragraphs) if all_rows else None, sorted(done.kinds)))
             yield pd.DataFrame(rows, columns=["table_name", "rec_key", "field_name", "repaired", "kinds"])
 
-    return spread(texts).mapInPandas(run, "table_name string, rec_key string, field_name string, repaired string, kinds array<string>")
+    return headed.select("table_name", "rec_key", "field_name", "text", "headers").mapInPandas(run, "table_name string, rec_key string, field_name string, repaired string, kinds array<string>")
 
 
 def noise_kinds(texts: DataFrame) -> DataFrame:

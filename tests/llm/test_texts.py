@@ -61,6 +61,7 @@ def test_noise_kinds_on_tables(spark):
     rows = [*clean, ("x", "The selected person shall teach quan-\ntum field thcory."), ("x", "The selected person shall teach quan-\ntum field thcory."), ("n", None), ("e", " ")]
     ads = spark.createDataFrame(rows, "id string, pdf_excerpt string").withColumn("kinds", F.lit(1))
     pos = spark.createDataFrame([(1, "The selected person\npage 7\nshall teach quantum field theory.", None), (None, "x", "y")], "position_id long, raw_section_text string, areas_text string")
+    ads, pos = (df.withColumn("institution_id", F.lit("i")) for df in (ads, pos))
     texts = scan_noise.scanned_texts(ads, pos)
     got = {tuple(r) for r in scan_noise.noise_kinds(texts).collect()}
     assert got == {("job_ads", "x", "pdf_excerpt", "hyphen"), ("job_ads", "x", "pdf_excerpt", "misread"), ("extracted_positions", "1", "raw_section_text", "pageno")}
@@ -83,6 +84,7 @@ def test_copies_of_a_misread_text_do_not_teach_the_lexicon(spark):
     copies = [(f"c{k}", "The selected person shall tcach quantum Held thcory.") for k in range(30)]
     ads = spark.createDataFrame(good + copies, "id string, pdf_excerpt string")
     pos = spark.createDataFrame([], "position_id long, raw_section_text string, areas_text string")
+    ads, pos = (df.withColumn("institution_id", F.lit("i")) for df in (ads, pos))
     texts = scan_noise.scanned_texts(ads, pos)
     assert not {"tcach", "thcory"} & set(scan_noise.build_lexicon(texts).share)
     assert {tuple(r) for r in scan_noise.noise_kinds(texts).collect()} == {("job_ads", f"c{k}", "pdf_excerpt", "misread") for k in range(30)}
@@ -99,6 +101,35 @@ HONEST = [
 ]
 
 
+def test_headers_are_learned(spark):
+    """A form that no pattern names, in lines and within a line; a boilerplate sentence that is wrapped alike is none."""
+    first = ["the selected person", "each new teacher", "every other member", "any good lecturer"]
+    rows = [("t", f"k{k}", "f", "inst", f"{SENTENCES[0]} Here {a}\nOffice of the Registrar, Academic Section\n{b} teach with care.\nCopies of the forms that\nAnnexure seven lists in full\nmust be sent by post.") for k, (a, b) in enumerate(zip(first, ["shall", "must", "may", "can"], strict=True))]
+    rows += [("t", "inline", "f", "inst", "The selected person Office of the Registrar, Academic Section shall teach quantum field theory."), ("t", "other", "f", "else", "Write to the Office of the Registrar, Academic Section before May."), ("t", "none", "f", None, "One\nOffice of the Registrar, Academic Section\ntwo.")]
+    texts = spark.createDataFrame(rows, "table_name string, rec_key string, field_name string, source string, text string").withColumn("headers", F.lit("clash"))
+    assert [(r.source, r.headers) for r in scan_noise.running_headers(texts).collect()] == [("inst", ["Office of the Registrar, Academic Section"])]
+    found = {r.rec_key for r in scan_noise.noise_kinds(texts).collect() if r.noise_kind == "header"}
+    assert found == {"k0", "k1", "k2", "k3", "inline"}
+    fixed = {r.rec_key: r.repaired for r in scan_noise.repair_texts(texts).collect()}
+    assert "Registrar" not in fixed["inline"] and "Registrar" in fixed["other"]
+
+
+def test_long_words_and_long_runs():
+    word = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    lex = scan_noise.Lexicon.of({word: 50, "the": 900, "of": 800}, 2000)
+    done = scan_noise.repair(f"the {word.replace('microscopic', 'micr0scopic')} of the {word[:20]}-\n{word[20:]}", lex)
+    assert done.paragraphs == [f"the {word} of the {word}"] and done.kinds == {"misread", "hyphen"}
+    # A word in pieces is put together wherever it stands in a run of unknown ones.
+    run = " ".join(f"zq{k}xv" for k in range(11))
+    assert word in scan_noise.repair(f"the {run} {word[:9]}-\n{word[9:20]}-\n{word[20:30]}-\n{word[30:]} of", lex).paragraphs[0]
+
+
+def test_omission_before_blanks(spark):
+    rows = [(f"r{k}", f"Copies must reach the section in time and {w} ...{' ' * 20}") for k, w in enumerate("abc")] + [("whole", "Copies must reach the section in time." + " " * 20)]
+    ads = spark.createDataFrame([(i, dt.datetime(2026, 1, 1), "m", t, None) for i, t in rows], "id string, snapshot_fetched_at timestamp, _source_method string, raw_text_excerpt string, pdf_excerpt string")
+    assert {r.ad_id for r in truncation.cut_texts(ads).collect()} == {"r0", "r1", "r2"}
+
+
 MESSAGES = "table_name string, rec_key string, source string, text string, whole boolean"
 
 
