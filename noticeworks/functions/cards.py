@@ -34,11 +34,9 @@ def disclosure(text: Column) -> dict[str, Column]:
     return {"totals": totals, "categories": (F.regexp_count(x, F.lit(CATEGORY_NUMBER)) >= 3) & x.rlike(CATEGORY_PAIR), "institutions": (F.regexp_count(x, F.lit(INSTITUTION)) >= 2) & totals}
 
 
-def reservation_state(private: Column, counted: Column, text: Column, composite: Column, posts: Column) -> Column:
-    """How far a notice tells its reservation: the first state that holds."""
-    x = F.lower(F.coalesce(text, F.lit("")))
-    single = (posts == 1) | (~composite & x.rlike(SINGLE))
-    return first_true([(private & ~counted, "private"), (counted, "counted"), (x.rlike(DRIVE), "drive"), (composite, "composite"), (single, "single")], "unknown")
+def reservation_state(private: Column, counted: Column, drive: Column, composite: Column, single: Column) -> Column:
+    """How far a notice tells its reservation: the first state that holds; 'single' only for a call that is not composite."""
+    return first_true([(private & ~counted, "private"), (counted, "counted"), (drive, "drive"), (composite, "composite"), (single, "single")], "unknown")
 
 
 def has_counts(breakdown: Column) -> Column:

@@ -7,18 +7,34 @@ from datetime import date
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The grammars tried in order.
-FORMATS = ["yyyy-MM-dd", "dd.MM.yyyy", "d.M.yyyy", "dd-MM-yyyy", "d/M/yyyy", "d MMMM yyyy", "d MMM yyyy", "dd-MMM-yyyy", "MMMM d yyyy", "MMM d yyyy"]
+#: The shape of each grammar, and the grammars tried for it in order.
+FORMATS = [
+    (r"^\d{4}-\d{2}-\d{2}$", ["yyyy-MM-dd"]),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", ["d.M.yyyy"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["d-M-yyyy"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["d/M/yyyy"]),
+    (r"^\d{1,2} \p{L}+ \d{4}$", ["d MMM yyyy", "d MMMM yyyy"]),
+    (r"^\d{1,2}-\p{L}+-\d{4}$", ["d-MMM-yyyy"]),
+    (r"^\p{L}+ \d{1,2} \d{4}$", ["MMM d yyyy", "MMMM d yyyy"]),
+]
 _MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*"
 DATE = rf"(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}}|\d{{1,2}}[ -]{_MONTH}[ -]\d{{4}}|{_MONTH} \d{{1,2}} \d{{4}})"
 
 
 def to_date(text: Column, least: int = 2015, most: int = 2035) -> Column:
     """The text as a date by the first grammar that fits, ordinal endings and commas aside; years outside the range are null."""
-    x = F.initcap(F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1"), ",", " ")))
-    x = F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"(?i)\bSept\b", "Sep")
-    found = F.coalesce(*[F.try_to_timestamp(x, F.lit(f)).cast("date") for f in FORMATS])
-    return F.when(F.year(found).between(least, most), found)
+
+    def read(raw: Column) -> Column:
+        x = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)(\d)(?:st|nd|rd|th)\b", "$1"), ",", " "))
+        x = F.initcap(F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"(?i)\bsept\b", "Sep"))
+        found = F.lit(None).cast("date")
+        for shape, formats in reversed(FORMATS):
+            found = F.when(x.rlike(shape), F.coalesce(*[F.try_to_timestamp(x, F.lit(f)).cast("date") for f in formats])).otherwise(found)
+        return found
+
+    # Through arrays, so that the text is found once and read once however often it is named.
+    parsed = F.transform(F.filter(F.array(text), lambda t: F.length(t) > 5), read)
+    return F.get(F.filter(parsed, lambda d: F.year(d).between(least, most)), F.lit(0))
 
 
 def dates_in(text: Column) -> Column:

@@ -41,20 +41,41 @@ class FilterSpec:
         return sum(map(len, (self.fields, self.relevance, self.types, self.states, self.ranks))) + bool(self.query.strip()) + (self.closing_within is not None) + self.reserved_only
 
 
-def rank_flags(title: Column, ranks: Column, post_type: Column) -> dict[str, Column]:
-    """Five overlapping flags: the ranks a post is open to, from title, listed ranks and post type."""
-    listed = F.lower(F.concat_ws(" | ", ranks))
-    text = F.lower(F.concat_ws(" ", title, F.concat_ws(" ", ranks)))
-    exact = F.exists(F.coalesce(ranks, F.array().cast("array<string>")), lambda r: F.lower(F.trim(r)).isin("professor", "full professor"))
-    head = F.lower(F.coalesce(title, F.lit("")))
-    kind = F.coalesce(post_type, F.lit(""))
-    return {
-        "faculty": listed.rlike(r"\bassistant\s+professor\b") | text.rlike(r"\bassistant\s+professor\b") | ((kind == "Faculty") & ~text.rlike(r"\bassociate\s+professor\b|\bprofessor\b|\bvisiting\b|\bpostdoc")) | head.rlike(r"\b(?:asst|assistant)\s*/\s*(?:assoc|associate)\b"),
-        "associate": text.rlike(r"\bassociate\s+professor\b") | head.rlike(r"assoc(?:iate)?\s*/"),
-        "full": exact | (text.rlike(r"\bprofessor\b") & ~text.rlike(r"\b(?:assistant|associate|visiting|adjunct)\s+professor\b")) | head.rlike(r"/\s*prof(?:essor)?\b"),
-        "research": kind.isin("Research", "Scientific", "Postdoc") | text.rlike(r"postdoc|post[- ]doc|research\s+fellow"),
-        "visiting": (kind == "Visiting") | text.rlike(r"\bvisiting\s+(?:faculty|professor|fellow|scholar|lecturer)\b"),
-    }
+#: What opens a post to a rank: words in the title or the listed ranks, words of the title alone, kinds of posts, and names of ranks as a whole.
+RANK_WORDS = {"faculty": r"\bassistant\s+professor\b", "associate": r"\bassociate\s+professor\b", "full": r"\bprofessor\b", "research": r"postdoc|post[- ]doc|research\s+fellow", "visiting": r"\bvisiting\s+(?:faculty|professor|fellow|scholar|lecturer)\b"}
+RANK_TITLES = {"faculty": r"\b(?:asst|assistant)\s*/\s*(?:assoc|associate)\b", "associate": r"assoc(?:iate)?\s*/", "full": r"/\s*prof(?:essor)?\b"}
+RANK_KINDS = {"research": ["Research", "Scientific", "Postdoc"], "visiting": ["Visiting"]}
+RANK_NAMES = {"full": ["professor", "full professor"]}
+LOWER_PROFESSOR = r"\b(?:assistant|associate|visiting|adjunct)\s+professor\b"
+NARROWER = r"\bassociate\s+professor\b|\bprofessor\b|\bvisiting\b|\bpostdoc"
+
+
+def rank_flags(title: Column, ranks: Column, post_type: Column, structured_type: Column | None = None) -> dict[str, Column]:
+    """Five overlapping flags: the ranks a post is open to.
+
+    A post is open to a rank that its title or listed ranks name, that a title of
+    several ranks abbreviates, or that its kind stands for; a kind from the structured
+    position counts before the ad's own. 'Faculty' alone is the entry rank unless the
+    words narrow it, and 'professor' is the full rank unless a lower one is meant.
+    """
+    names = F.coalesce(ranks, F.array().cast("array<string>"))
+    words, head = F.lower(F.concat_ws(" ", title, F.concat_ws(" ", ranks))), F.lower(F.coalesce(title, F.lit("")))
+    kind = F.coalesce(*([structured_type] if structured_type is not None else []), post_type, F.lit(""))
+    flags: dict[str, Column] = {}
+    for rank in RANK_GROUPS:
+        named = words.rlike(RANK_WORDS[rank])
+        if rank == "full":
+            named = named & ~words.rlike(LOWER_PROFESSOR)
+        if rank == "faculty":
+            named = named | ((kind == "Faculty") & ~words.rlike(NARROWER))
+        if rank in RANK_TITLES:
+            named = named | head.rlike(RANK_TITLES[rank])
+        if rank in RANK_KINDS:
+            named = named | kind.isin(*RANK_KINDS[rank])
+        if rank in RANK_NAMES:
+            named = named | F.exists(names, lambda r: F.lower(F.trim(r)).isin(*RANK_NAMES[rank]))  # noqa: B023 - called at once
+        flags[rank] = named
+    return flags
 
 
 def reserved(breakdown: Column, text: Column) -> Column:

@@ -26,25 +26,26 @@ def _contains(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (a.contains(b) | b.contains(a))
 
 
+#: The points of each agreement between an ad and a position. ``within``: one name holds the other; ``word``: for each shared word, up to ``most``; ``titled``: the ad's title holds the name.
+WEIGHTS = {"department": {"same": 12, "within": 12, "word": 2, "most": 6, "titled": 8}, "discipline": {"same": 14, "within": 10, "word": 3, "most": 8, "titled": 10}}
+SHARED_WORDS, RICH_TEXT, LONG_TEXT, LISTED_AREAS = 12, 120, 2, 2
+
+
 def pair_score(ad: dict[str, Column], pos: dict[str, Column]) -> Column:
     """How well a position fits an ad: agreement of department and discipline, their mention in the title, shared words, and how rich the position is.
 
     ``ad``: title, department, discipline (folded) and words; ``pos``: department,
     discipline (folded), words, raw and areas.
     """
-
-    def common(a: Column, b: Column) -> Column:
-        return F.size(F.array_intersect(F.filter(F.split(a, " "), lambda w: F.length(w) > 1), F.filter(F.split(b, " "), lambda w: F.length(w) > 1)))
-
-    dept, disc = common(ad["department"], pos["department"]), common(ad["discipline"], pos["discipline"])
-    score = F.when(_contains(ad["department"], pos["department"]), 12).when((ad["department"] != "") & (pos["department"] != ""), F.least(F.lit(6), dept * 2)).otherwise(0)
-    both = (ad["discipline"] != "") & (pos["discipline"] != "")
-    score += F.when(both & (ad["discipline"] == pos["discipline"]), 14).when(_contains(ad["discipline"], pos["discipline"]), 10).when(both, F.least(F.lit(8), disc * 3)).otherwise(0)
-    score += F.when((pos["discipline"] != "") & ad["title"].contains(pos["discipline"]), 10).otherwise(0)
-    score += F.when((pos["department"] != "") & ad["title"].contains(pos["department"]), 8).otherwise(0)
-    score += F.least(F.lit(12), F.size(F.array_intersect(ad["words"], pos["words"])))
-    score += F.when(F.length(pos["raw"]) > 120, 2).otherwise(0) + F.when(F.size(pos["areas"]) > 0, 2).otherwise(0)
-    return score
+    terms = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) > 1)
+    points = F.least(F.lit(SHARED_WORDS), F.size(F.array_intersect(ad["words"], pos["words"])))
+    for name, w in WEIGHTS.items():
+        a, b = ad[name], pos[name]
+        shared = F.size(F.array_intersect(terms(a), terms(b)))
+        agreed = F.when(a == b, w["same"]).when(a.contains(b) | b.contains(a), w["within"]).otherwise(F.least(F.lit(w["most"]), shared * w["word"]))
+        points += F.when((a != "") & (b != ""), agreed).otherwise(0)
+        points += F.when((b != "") & ad["title"].contains(b), w["titled"]).otherwise(0)
+    return points + F.when(F.length(pos["raw"]) > RICH_TEXT, LONG_TEXT).otherwise(0) + F.when(F.size(pos["areas"]) > 0, LISTED_AREAS).otherwise(0)
 
 
 def scored_pairs(ads: DataFrame, positions: DataFrame, manifest: DataFrame) -> DataFrame:

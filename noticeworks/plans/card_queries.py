@@ -72,7 +72,7 @@ def reservation_states(spark: SparkSession, root: str) -> DataFrame:
     marks = raw.withColumns({"counted": F.coalesce(cards.has_counts(F.col("category_breakdown")), F.lit(False)), "said": said, "drive": whole.rlike(cards.DRIVE), "lone": whole.rlike(cards.SINGLE)})
     ads = ranking.peer_count(latest(marks, "institution_id", "original_url", "number_of_posts", "counted", "said", "drive", "lone"), "original_url").join(inst, "institution_id", "left")
     composite, private = F.col("said") | (F.col("peers") >= 2), F.coalesce("private", F.lit(False))
-    state = cards.first_true([(private & ~F.col("counted"), "private"), (F.col("counted"), "counted"), (F.col("drive"), "drive"), (composite, "composite"), ((F.col("number_of_posts") == 1) | (~composite & F.col("lone")), "single")], "unknown")
+    state = cards.reservation_state(private, F.col("counted"), F.col("drive"), composite, (F.col("number_of_posts") == 1) | (~composite & F.col("lone")))
     return ads.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 

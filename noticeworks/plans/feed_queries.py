@@ -532,17 +532,37 @@ def chunk_summary(spark: SparkSession, root: str) -> DataFrame:
     return chunks.chunk_stats(chunks.chunked(table(spark, root, "documents")))
 
 
-@query()
+_SAYS = r"\b(?:applications?|qualification|eligib|position|post of|vacanc|recruit|specialisation|teaching|doctora)"
+#: Fixed value: what the example takes out of excerpts.
+_TAKE_OUT = ["(?i)add to calendar", "[^.|]*[\u0900-\u097f]+[^.|]*"]
+
+
+@query(rf"""WITH {_LATEST}, x AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(raw_text_excerpt, ''), '{_TAKE_OUT[0]}', ' ', 'g'), '{_TAKE_OUT[1]}', ' ', 'g'), '\s+', ' ', 'g')) AS x FROM ads),
+y AS (SELECT id, x, length(x) AS n, CAST(floor((length(x) - 1) / 2) AS INT) AS half, regexp_extract(x, '(?i)^(.{{80,}}?)(?:{_SAYS})', 1) AS lead FROM x)
+SELECT id, CASE WHEN n % 2 = 1 AND half BETWEEN 1 AND 60 AND left(x, half) = right(x, half) OR n < 200 AND len(string_split(x, '|')) >= 3 OR n < 60 AND NOT regexp_matches(x, '(?i){_SAYS}') THEN ''
+ELSE substr(x, 1 + CASE WHEN length(lead) < n - 50 THEN length(regexp_extract(lead, '^(.*\. )', 1)) ELSE 0 END) END AS excerpt FROM y""")
 def excerpts_clean(spark: SparkSession, root: str) -> DataFrame:
-    words = r"\b(?:applications?|qualification|eligib|position|post of|vacanc|recruit|specialisation|teaching|doctora)"
-    return latest_ads(spark, root, "raw_text_excerpt").select("id", text.clean_excerpt(F.col("raw_text_excerpt"), words).alias("excerpt"))
+    clean = text.clean_excerpt(F.col("raw_text_excerpt"), _SAYS, _TAKE_OUT)
+    return latest(table(spark, root, "job_ads").withColumn("excerpt", clean), "excerpt").select("id", "excerpt")
 
 
-@query()
+def _date_sql(x: str, least: int) -> str:
+    tidy = f"regexp_replace(trim(regexp_replace(regexp_replace({x}, '(\\d)(?:st|nd|rd|th)\\b', '\\1', 'gi'), ',', ' ', 'g')), '\\s+', ' ', 'g')"
+    tried = ", ".join(f"try_strptime({tidy}, '{f}')" for f in ("%Y-%m-%d", "%d.%m.%Y", "%d-%m-%Y", "%d/%m/%Y", "%d %B %Y", "%d %b %Y", "%d-%b-%Y", "%B %d %Y", "%b %d %Y"))
+    return f"(CASE WHEN year(coalesce({tried})) BETWEEN {least} AND 2035 THEN CAST(coalesce({tried}) AS DATE) END)"
+
+
+_DUE = ", ".join(_date_sql(f"regexp_extract(x, '(?is){label}.{{0,60}}?\\b({dates.DATE})', 1)", 2020) for label in fields.DEADLINE_LABELS)
+_CAMPUS = ", ".join(f"nullif(regexp_extract(x, '{p}', 1), '')" for p in (r"\bCampus[:\s]+([A-Z][a-zA-Z]+)\b", r"\b([A-Z][a-zA-Z]+)\s+[Cc]ampus\b", r"(?i)\b(?:based|located|positioned)\s+(?:in|at)\s+([A-Z][a-zA-Z]+)\b"))
+
+
+@query(rf"""WITH {_LATEST}, t AS (SELECT id, coalesce(raw_text_excerpt, '') AS x FROM ads)
+SELECT id, coalesce({_DUE}) AS deadline, len(list_filter(regexp_extract_all(x, '({dates.DATE})', 1), lambda d: {_date_sql("d", 2015)} IS NOT NULL)) AS n_dates, coalesce({_CAMPUS}) AS campus,
+coalesce(array_to_string((SELECT list(v ORDER BY k) FROM (SELECT v, min(k) AS k FROM (SELECT unnest(p) AS v, generate_subscripts(p, 1) AS k FROM (SELECT regexp_extract_all(x, '((?:[Aa]t least )?\d+ (?:research )?(?:publications|papers)[^.]{{0,80}})', 1) AS p)) GROUP BY v))[1:3], ' | '), '') AS publications FROM t""")
 def text_deadlines(spark: SparkSession, root: str) -> DataFrame:
     x = F.col("raw_text_excerpt")
-    ads = latest_ads(spark, root, "raw_text_excerpt")
-    return ads.select("id", fields.deadline(x).alias("deadline"), F.size(dates.dates_in(x)).alias("n_dates"), fields.campus(x).alias("campus"), fields.publications(x).alias("publications"))
+    found = {"deadline": fields.deadline(x), "n_dates": F.size(dates.dates_in(x)), "campus": fields.campus(x), "publications": fields.publications(x)}
+    return latest(table(spark, root, "job_ads").withColumns(found), *found).select("id", *found)
 
 
 @query()
@@ -559,6 +579,13 @@ def vector_topk(spark: SparkSession, root: str) -> DataFrame:
     return vectors.nearest(v, v.where("vec_id % 100 = 0")).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
 
 
+@query()
+def vector_topk_indexed(spark: SparkSession, root: str) -> DataFrame:
+    """The same search through the index, for more queries than blocks can be sent for."""
+    v = table(spark, root, "embeddings")
+    return vectors.nearest_by_index(v, v.where("vec_id % 100 = 0")).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "rank")
+
+
 @query("""SELECT label, pos - 1 AS pos, round(avg(x::DOUBLE), 6) AS mean, count(*) AS n FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY 1, 2""")
 def label_centroids(spark: SparkSession, root: str) -> DataFrame:
     return vectors.centroids(table(spark, root, "embeddings"), "label").withColumn("mean", F.round("mean", 6))

@@ -88,7 +88,7 @@ def test_text_helpers(spark):
     ],
 )
 def test_clean_excerpt(spark, raw, want):
-    assert one(spark, raw, lambda c: text.clean_excerpt(c, r"\b(?:applications?|post of)")) == want
+    assert one(spark, raw, lambda c: text.clean_excerpt(c, r"\b(?:applications?|post of)", ["(?i)add to calendar"])) == want
 
 
 @pytest.mark.parametrize(

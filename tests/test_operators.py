@@ -219,3 +219,29 @@ def test_details_rosters_wildcards(spark):
     assert tuples(matching.roster_of_unit(pos, ros)) == [(1, 0)]
     df = spark.createDataFrame([("IN",), ("Multi",), ("US",)], "r string")
     assert [r[0] for r in df.select(matching.wildcard_match(F.col("r"), ["IN"], "Multi")).collect()] == [True, True, False]
+
+
+def test_index_finds_nearly_all_neighbours(spark, root):
+    v = spark.read.parquet(f"{root.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
+    asked = v.where("vec_id % 20 = 0")
+    exact = {(r.query_id, r.vec_id) for r in vectors.nearest(v, asked).collect()}
+    rows = vectors.nearest_by_index(v, asked, chunk=40).collect()
+    found = {(r.query_id, r.vec_id) for r in rows}
+    assert len(rows) == len(found) == len(exact) and len(found & exact) / len(exact) >= 0.9
+    assert vectors.nearest_by_index(v.limit(0), asked).count() == 0 and vectors.nearest_by_index(v, asked.limit(0)).count() == 0
+
+
+def test_cards(spark):
+    from noticeworks.functions import cards, fields
+
+    row = spark.createDataFrame([(None, "x")], "t string, u string")
+    empty = row.select(*[c.alias(f"a{k}") for k, c in enumerate([cards.unit_name(F.col("t")), cards.unit_from_title(F.col("t")), *cards.headline(F.col("t")), cards.numbered_items(F.col("t")), cards.cue(F.col("t"), "areas"), cards.statements(F.col("t"), "x"), cards.public_address(F.col("t")), fields.reservation_note(F.col("t"))])]).first()
+    assert list(empty) == [None, None, "", "", [], None, "", False, None]
+    texts = spark.createDataFrame([("Dept. of  Physics *", "Lecturer in Optics", "1. Apply soon\n2) Optics of films\n3. Lasers", "http://10.0.0.1/x"), ("Maths", "Recruitment of Fellow (topology)", "No list", "https://a.example/b")], "d string, t string, x string, u string")
+    rank, rest = cards.headline(F.col("t"))
+    got = texts.select(cards.unit_name(F.col("d"), {"maths": "Mathematics"}), cards.unit_from_title(F.col("t")), rank, rest, cards.numbered_items(F.col("x")), cards.public_address(F.col("u"))).collect()
+    assert [tuple(r) for r in got] == [("Physics", "Optics", "Lecturer", "Optics", ["Optics of films", "Lasers"], False), ("Mathematics", "topology", "Fellow", "topology", [], True)]
+    note = spark.createDataFrame([("Posts are few. SC 15 per cent and ST 7.5 per cent are reserved. End.",)], "t string").select(fields.reservation_note(F.col("t"))).first()[0]
+    assert note == "SC 15 per cent and ST 7.5 per cent are reserved"
+    state = spark.createDataFrame([(True, False, False, False, True), (False, True, True, True, False), (False, False, True, True, False), (False, False, False, True, True), (False, False, None, False, True), (False, False, None, False, None)], "p boolean, c boolean, d boolean, m boolean, s boolean")
+    assert [r[0] for r in state.select(cards.reservation_state(*[F.col(c) for c in "pcdms"])).collect()] == ["private", "counted", "drive", "composite", "single", "unknown"]
