@@ -126,5 +126,16 @@ WITH ads AS (
 )
 SELECT a.id AS ad_id_a, b.id AS ad_id_b FROM ads a JOIN ads b ON a.institution_id = b.institution_id AND a.id < b.id
 WHERE len(list_intersect(a.bag, b.bag)) >= 0.75 * (len(a.bag) + len(b.bag) - len(list_intersect(a.bag, b.bag)))""",
+    "p6_groups": r"""
+WITH RECURSIVE ads AS (
+  SELECT id, institution_id, list_sort(list_distinct(list_concat(w, regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]+')))) AS bag FROM (
+    SELECT id, institution_id, title, list_distinct(regexp_extract_all(lower(raw_text_excerpt), '[a-z0-9]+')) AS w, row_number() OVER (PARTITION BY id ORDER BY snapshot_fetched_at DESC) AS rn
+    FROM job_ads WHERE institution_id IS NOT NULL AND raw_text_excerpt IS NOT NULL) WHERE rn = 1 AND len(w) >= 60
+), sets AS (SELECT institution_id, bag, row_number() OVER (ORDER BY institution_id, bag) AS s FROM (SELECT DISTINCT institution_id, bag FROM ads)),
+m AS (SELECT ads.id AS ad_id, s FROM ads JOIN sets ON ads.institution_id = sets.institution_id AND ads.bag = sets.bag),
+e AS (SELECT a.s AS a, b.s AS b FROM sets a JOIN sets b ON a.institution_id = b.institution_id AND a.s <> b.s WHERE len(list_intersect(a.bag, b.bag)) >= 0.75 * (len(a.bag) + len(b.bag) - len(list_intersect(a.bag, b.bag)))),
+r(s, t) AS (SELECT s, s FROM sets UNION SELECT r.s, e.b FROM r JOIN e ON r.t = e.a), c AS (SELECT s, min(t) AS g FROM r GROUP BY s), n AS (SELECT a AS s, count(*) AS n_links FROM e GROUP BY a),
+named AS (SELECT g, min(ad_id) AS group_id FROM m JOIN c ON m.s = c.s GROUP BY g HAVING count(*) > 1)
+SELECT ad_id, group_id, coalesce(n_links, 0) AS n_links FROM m JOIN c ON m.s = c.s JOIN named ON c.g = named.g LEFT JOIN n ON m.s = n.s""",
     "p8_decoded": "SELECT doc_id, text FROM documents",
 }
