@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from noticeworks.functions.text import escape_html
 from noticeworks.functions.urls import registered_domain
 from noticeworks.operators import layout
-from noticeworks.sources import feeds, files, html
+from noticeworks.sources import feeds, fetch, files, html
 from noticeworks.storage import remember, shared_folder, table
 
 QUERIES: dict = {}
@@ -177,3 +177,28 @@ def section_sizes(spark: SparkSession, root: str) -> DataFrame:
     """The lines of each section of a document: a section starts at a header."""
     rows = layout.text_lines(table(spark, root, "documents"))
     return layout.section_lines(rows).groupBy("doc_id", "section").agg(F.count("*").alias("n"))
+
+
+def _answers() -> fetch.Client:
+    """A client whose answers follow from the length of the address: good, missing, overloaded, and silent at the first try."""
+    tried: dict[str, int] = {}
+
+    def answer(url: str) -> tuple[int, str]:
+        tried[url] = tried.get(url, 0) + 1
+        kind = len(url) % 4
+        if kind == 3 and tried[url] == 1:
+            raise TimeoutError
+        return {0: 200, 1: 404, 2: 503, 3: 200}[kind], "x"
+
+    return answer
+
+
+@query("""SELECT status, code, attempts, count(*) AS n, CAST(sum(CASE attempts WHEN 2 THEN 2 WHEN 3 THEN 6 ELSE 0 END) AS DOUBLE) AS waited FROM (
+SELECT CASE WHEN blocked THEN 'robots-blocked' WHEN k IN (1, 2) THEN 'http-error' ELSE 'ok' END AS status, CASE WHEN blocked THEN NULL WHEN k = 1 THEN 404 WHEN k = 2 THEN 503 ELSE 200 END AS code, CASE WHEN blocked THEN 0 WHEN k = 2 THEN 3 WHEN k = 3 THEN 2 ELSE 1 END AS attempts
+FROM (SELECT DISTINCT url, length(url) % 4 AS k, regexp_matches(url, '^https?://[^/]+/files/1') AS blocked FROM pdf_manifest WHERE url IS NOT NULL)) GROUP BY status, code, attempts""")
+def fetch_outcomes(spark: SparkSession, root: str) -> DataFrame:
+    """The files of the manifest read by policy from a client with set answers."""
+    urls = table(spark, root, "pdf_manifest").select("url", registered_domain(F.col("url")).alias("domain"))
+    robots = urls.select("domain").distinct().withColumn("rules", F.lit("User-agent: *\nDisallow: /files/1"))
+    rows = fetch.fetched(urls, _answers, fetch.Policy(interval=0.0), robots=robots, sleep=lambda _: None)
+    return rows.groupBy("status", "code", "attempts").agg(F.count("*").alias("n"), F.sum("waited").alias("waited"))

@@ -245,3 +245,8 @@ def test_cards(spark):
     assert note == "SC 15 per cent and ST 7.5 per cent are reserved"
     state = spark.createDataFrame([(True, False, False, False, True), (False, True, True, True, False), (False, False, True, True, False), (False, False, False, True, True), (False, False, None, False, True), (False, False, None, False, None)], "p boolean, c boolean, d boolean, m boolean, s boolean")
     assert [r[0] for r in state.select(cards.reservation_state(*[F.col(c) for c in "pcdms"])).collect()] == ["private", "counted", "drive", "composite", "single", "unknown"]
+
+
+def test_hashed_encoding(spark):
+    rows = spark.createDataFrame([("a b",), ("b a",), (None,), ("",)], "t string").select(vectors.hashed_encoding(F.col("t")).alias("v")).collect()
+    assert rows[0].v == rows[1].v and len(rows[0].v) == 64 and abs(sum(x * x for x in rows[0].v) - 1) < 1e-5 and set(rows[2].v) == set(rows[3].v) == {0.0}

@@ -124,3 +124,37 @@ def test_release_deletes_what_was_spooled(spark):
     storage.release(spark)
     df = storage.spool(spark.range(3))
     assert df.count() == 3 and storage.release(spark) == 1
+
+
+def test_fetching_by_policy(spark):
+    from noticeworks.sources import fetch
+
+    rules = "User-agent: *\nDisallow: /private"
+    assert fetch.allowed(None, "*", "https://a.example/private") and not fetch.allowed(rules, "*", "https://a.example/private/x") and fetch.allowed(rules, "*", "https://a.example/public")
+    pauses, answers = [], iter([(503, ""), TimeoutError(), (200, "page")])
+
+    def client(_):
+        x = next(answers)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    got = fetch.fetch_one("u", client, fetch.Policy(), pauses.append)
+    assert (got["status"], got["code"], got["body"], got["attempts"], got["waited"]) == ("ok", 200, "page", 3, 6.0) and pauses == [2.0, 4.0]
+    assert fetch.fetch_one("u", lambda _: (404, ""), fetch.Policy(), pauses.append)["attempts"] == 1
+    none = fetch.fetch_one("u", lambda _: 1 / 0, fetch.Policy(tries=2), lambda _: None)
+    assert (none["status"], none["code"], none["attempts"]) == ("network-error", None, 2)
+    log = spark.createDataFrame([("a", "ok", dt.datetime(2026, 1, 1, 10), "x"), ("b", "ok", dt.datetime(2025, 1, 1), "x"), ("c", "error", dt.datetime(2026, 1, 1, 10), None)], "url string, status string, fetched_at timestamp, body string")
+    urls = spark.createDataFrame([(u, "d") for u in "abcd"] + [(None, "d"), ("e", None), ("d", "d")], "url string, domain string")
+    todo = fetch.to_fetch(urls, log, F.lit("2026-01-01 12:00:00").cast("timestamp"), 6)
+    assert {r.url for r in todo.where("url is not null and domain is not null").collect()} == {"b", "c", "d"}
+    rows = fetch.fetched(todo, lambda: lambda u: (200, u), fetch.Policy(interval=0.0)).collect()
+    assert sorted((r.url, r.status, r.body) for r in rows) == [("b", "ok", "b"), ("c", "ok", "c"), ("d", "ok", "d")]
+    assert fetch.fetched(todo.limit(0), lambda: lambda u: (200, u)).count() == 0
+
+
+def test_read_binary(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4")
+    (tmp_path / "b.txt").write_text("no")
+    rows = files.read_binary(spark, str(tmp_path)).collect()
+    assert [(r.path.rsplit("/", 1)[1], bytes(r.content), r.length) for r in rows] == [("a.pdf", b"%PDF-1.4", 8)]
