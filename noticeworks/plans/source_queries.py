@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,6 +100,25 @@ def page_items(spark: SparkSession, root: str) -> DataFrame:
     return spark.sql("SELECT p.id, l.url, l.text FROM {pages} p, LATERAL noticeworks_items(p.page, 'https://x.example/') l", pages=pages)
 
 
+@query(f"SELECT id, {_tidy('title')} AS post, coalesce({_tidy('ad_number')}, '') AS number FROM {_FROM}")
+def labelled_tables(spark: SparkSession, root: str) -> DataFrame:
+    """Pages with one table of labels and values for each post."""
+    spark.udtf.register("noticeworks_labelled", html.LabelledTables)
+    line = lambda label, c: F.concat(F.lit(f"<tr><th>{label}:</th><td>"), escape_html(F.coalesce(c, F.lit(""))), F.lit("</td></tr>"))
+    body = F.concat(F.lit("<table>"), line("Name of Post", F.col("title")), line("Advt No", F.col("ad_number")), line("Name of post", F.lit("again")), F.lit("</table>"))
+    pages = _ads(spark, root).select("id", _page(body).alias("page"))
+    return spark.sql("SELECT p.id, l.fields['name of post'] AS post, l.fields['advt no'] AS number FROM {pages} p, LATERAL noticeworks_labelled(p.page) l", pages=pages)
+
+
+@query("SELECT id, inst_name, established FROM institutions")
+def registry_sheet(spark: SparkSession, root: str) -> DataFrame:
+    """The registry as a spreadsheet, read back; a registry is one sheet by definition."""
+    book = io.BytesIO()
+    files.export_sheet(table(spark, root, "institutions").select("id", "inst_name", "established"), book)
+    head, *rows = files.read_sheet(book)
+    return spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{c} string" for c in head)).withColumn("established", F.col("established").cast("int"))
+
+
 @query(f"SELECT id, original_url AS url, {_tidy('title')} AS heading FROM {_FROM}")
 def headed_links(spark: SparkSession, root: str) -> DataFrame:
     """Links with the heading before them, looked for among their ancestors' siblings."""

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import zipfile
 from pathlib import Path
+from typing import BinaryIO
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +19,10 @@ AD_SCHEMA = """id string, institution_id string, ad_number string, title string,
 category_breakdown struct<ur:int,sc:int,st:int,obc:int,ews:int,pwbd:int>, number_of_posts int, pay_scale string, publication_date date, closing_date date, original_url string, apply_url string,
 snapshot_fetched_at timestamp, parse_confidence double, raw_text_excerpt string, pdf_excerpt string, _source_method string, _source_note string, extras map<string,string>"""
 
+#: Fixed value: the rows of a sheet, its head included.
+SHEET_ROWS = 1_048_576
+_NO_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
 
 def read_json(spark: SparkSession, path: str, schema: str, *, lines: bool = True, strict: bool = False) -> DataFrame:
     """JSON lines or one JSON array with a given schema. Malformed lines are dropped, or fail if ``strict``."""
@@ -77,6 +86,34 @@ def export_feed(ads: DataFrame, path: str, generated_at: str) -> int:
     return n
 
 
+def export_sheet(rows: DataFrame, path: str | BinaryIO, name: str = "Sheet1") -> int:
+    """A spreadsheet of a table small enough for one sheet, heads in the first row; returns the number of rows. More rows than a sheet holds are refused."""
+    n = rows.count()
+    if n > SHEET_ROWS - 1:
+        raise ValueError(f"a sheet holds {SHEET_ROWS - 1} rows")
+    office = "http://schemas.openxmlformats.org"
+    cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) and not isinstance(v, bool) else "<c/>" if v is None else f'<c t="inlineStr"><is><t xml:space="preserve">{escape(_NO_XML.sub("", str(v)))}</t></is></c>'
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("[Content_Types].xml", f'<Types xmlns="{office}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
+        book.writestr("_rels/.rels", f'<Relationships xmlns="{office}/package/2006/relationships"><Relationship Id="r1" Type="{office}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{office}/package/2006/relationships"><Relationship Id="r1" Type="{office}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{office}/spreadsheetml/2006/main" xmlns:r="{office}/officeDocument/2006/relationships"><sheets><sheet name="{escape(name)}" sheetId="1" r:id="r1"/></sheets></workbook>')
+        with book.open("xl/worksheets/sheet1.xml", "w") as out:
+            out.write(f'<worksheet xmlns="{office}/spreadsheetml/2006/main"><sheetData>'.encode())
+            out.write(("<row>" + "".join(map(cell, rows.columns)) + "</row>").encode())
+            for r in rows.toLocalIterator():
+                out.write(("<row>" + "".join(map(cell, r)) + "</row>").encode())
+            out.write(b"</sheetData></worksheet>")
+    return n
+
+
+def read_sheet(path: str | BinaryIO) -> list[list[str | None]]:
+    """The rows of a sheet that ``export_sheet`` wrote, as text."""
+    tag = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(path) as book, book.open("xl/worksheets/sheet1.xml") as sheet:
+        return [["".join(c.itertext()) if len(c) else None for c in row.iter(f"{tag}c")] for _, row in ElementTree.iterparse(sheet) if row.tag == f"{tag}row"]
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
     """Old and new rows, the last of each key; a key keeps the place where it first stood (``first_seq``)."""
     return last_wins(old.unionByName(new, allowMissingColumns=True), [key], [seq])

@@ -152,6 +152,21 @@ class PageTables:
                     yield t, r, [c.text() for c in cells], links, all(c.tag == "th" for c in cells)
 
 
+@udtf(returnType="table_no int, fields map<string,string>")
+class LabelledTables:
+    """Tables of which each row is a label and a value, as one record each: labels squeezed, in lower case, without a colon; the first value of a label counts."""
+
+    def eval(self, html: str | None):
+        for t, table in enumerate(tree(html).find_all("table")):
+            fields: dict[str, str] = {}
+            for row in table.find_all("tr"):
+                cells = row.find_all("td", "th")
+                if len(cells) == 2 and (label := cells[0].text().rstrip(": ").lower()):
+                    fields.setdefault(label, cells[1].text())
+            if fields:
+                yield t, fields
+
+
 @udtf(returnType="seq int, text string, url string")
 class PageItems:
     """List items that hold a link."""
