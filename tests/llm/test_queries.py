@@ -10,6 +10,8 @@ from tests.compare import both
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, root, name):
+    if name.startswith("p2_"):  # messages must recur in three sources, which the smallest tables are too small for
+        root = root.replace("sf0.001", "sf0.01")
     if name in ORACLE:
         ours, theirs = both(spark, root, QUERIES[name], ORACLE[name])
         assert ours == theirs
