@@ -132,11 +132,12 @@ def similar_sets(sets: DataFrame, *, threshold: float = 0.75, rows: int = 6, ban
     """
     signed = spool(signed_sets(sets, rows=rows, bands=bands, sketch=sketch, seed=seed), "signed")
     keyed = signed.select("rep", F.explode("buckets").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = keyed.join(sizes, "bucket").withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # A bucket of two is its own pair; only members of larger ones are looked up again.
+    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"))
+    members = spool(keyed.join(sizes.where("n > 2").select("bucket", "n"), "bucket").withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")), "members")
     left = members.select("bucket", F.col("rep").alias("a"), F.col("part").alias("pa"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pb"))
     right = members.select("bucket", F.col("rep").alias("b"), F.col("part").alias("pb"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pa"))
-    candidates = left.join(right, ["bucket", "pa", "pb"]).where("a < b").select("a", "b").distinct()
+    candidates = left.join(right, ["bucket", "pa", "pb"]).where("a < b").select("a", "b").unionByName(sizes.where("n = 2").select("a", "b")).distinct()
     marks = signed.select("rep", "sketch")
     marked = candidates.join(marks.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(marks.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
     least = int(sketch * threshold - 4 * (sketch * threshold * (1 - threshold)) ** 0.5)
