@@ -21,7 +21,7 @@ def unique_ids(rows: DataFrame, base: Column, order: list[Column], salt: list[Co
     of all rows share is no task's group. Ids that are taken twice after that are
     hashed again with a counter until none is; only the rows in conflict take part.
     Rows equal in base and order are told apart by their row hash, equal rows by a
-    counter.
+    counter. Ids that still collide after ``max_rounds`` raise an error.
     """
     place = F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], F.xxhash64(*[F.col(c).cast("string") for c in rows.columns]).alias("h"))
     tagged = rows.withColumns({"_base": F.coalesce(base, F.lit("")), "_place": place})
@@ -37,4 +37,6 @@ def unique_ids(rows: DataFrame, base: Column, order: list[Column], salt: list[Co
         clash = held.join(taken, name, "left_semi").withColumn("_k", rank)
         again = clash.withColumn(name, F.when(F.col("_k") > 1, stable_id(F.col("_base"), *salt, F.col("_k"), F.lit(attempt))).otherwise(F.col(name))).drop("_k")
         held = spool(held.join(taken, name, "left_anti").unionByName(again), "ids")
+    else:
+        raise RuntimeError(f"ids still collide after {max_rounds} rounds")
     return held.select(*rows.columns, name)
