@@ -215,7 +215,7 @@ def decode(pieces: list[tuple[str, str]], lexicon: Lexicon) -> tuple[list[str],
                 offer(i, j, -lexicon.share.get(word, -9.0), written, kinds)
             elif word in lexicon.share:
                 offer(i, j, joins - lexicon.share[word], head + body + tail, kinds)
-            elif fixed := lexicon.repair(word):
+            elif not (gaps and any(lexicon.knows(p) for p, _ in span)) and (fixed := lexicon.repair(word)):
                 offer(i, j, joins + fixed[1], head + _case_like(body, fixed[0]) + tail, kinds | {"misread"})
             elif j > i + 1 and hyphens and word.isalpha():
                 whole = "-".join(core(p) for p, _ in span)
@@ -401,13 +401,16 @@ def repair(text: str, lexicon: Lexicon, headers: tuple[str, ...] = ()) -> Repair
         marks = [p[1] == "-" or not lexicon.knows(p[0]) for p in pieces]
         words, k = [], 0
         while k < len(pieces):
-            if not marks[k]:
+            if not marks[k] and (k + 1 == len(pieces) or not marks[k + 1] or pieces[k][1] == "-"):
                 words.append(pieces[k][0])
                 k += 1
                 continue
-            stop = k
+            # A run of unknown pieces with the known one before it and the one after, to which halves may belong.
+            stop = k if marks[k] else k + 1
             while stop < len(pieces) and (marks[stop] or stop > k and pieces[stop - 1][1] == "-"):
                 stop += 1
+            if stop < len(pieces) and (stop + 1 == len(pieces) or not marks[stop + 1]):
+                stop += 1
             found_words, found = decode([tuple(p) for p in pieces[k:stop]], lexicon)
             words += found_words
             kinds |= found

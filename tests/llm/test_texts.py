@@ -124,6 +124,13 @@ def test_long_words_and_long_runs():
     assert word in scan_noise.repair(f"the {run} {word[:9]}-\n{word[9:20]}-\n{word[20:30]}-\n{word[30:]} of", lex).paragraphs[0]
 
 
+def test_halves_that_are_words_are_joined():
+    lex = scan_noise.Lexicon.of({"recruit": 300, "recruitment": 900, "of": 900, "staff": 500, "man": 400, "manuscript": 600}, 4000)
+    assert scan_noise.repair("the recruit ment of staff", lex).paragraphs == ["the recruitment of staff"]
+    assert scan_noise.repair("the manu script of staff", lex).paragraphs == ["the manuscript of staff"]
+    assert scan_noise.repair("recruit Kuwat of staff", lex).paragraphs == ["recruit Kuwat of staff"]
+
+
 def test_omission_before_blanks(spark):
     rows = [(f"r{k}", f"Copies must reach the section in time and {w} ...{' ' * 20}") for k, w in enumerate("abc")] + [("whole", "Copies must reach the section in time." + " " * 20)]
     ads = spark.createDataFrame([(i, dt.datetime(2026, 1, 1), "m", t, None) for i, t in rows], "id string, snapshot_fetched_at timestamp, _source_method string, raw_text_excerpt string, pdf_excerpt string")
