@@ -12,7 +12,7 @@ from noticeworks.ids import stable_id, unique_ids
 from noticeworks.operators import chunks, facets, layout, matching, ranking, reports, sweep, validation, vectors
 from noticeworks.plans import banks
 from noticeworks.rules import all_matches, first_match, phrase_counts, scoped_match
-from noticeworks.storage import table
+from noticeworks.storage import spread, table
 
 AS_OF = date(2026, 1, 15)
 QUERIES: dict = {}
@@ -57,7 +57,7 @@ def enriched(spark: SparkSession, root: str, *columns: str, spec: facets.FilterS
     ``spec``. What is not asked for is not even read.
     """
     inst = table(spark, root, "institutions").select(F.col("id").alias("institution_id"), "inst_name", "short_name", "inst_type", "state", "city")
-    x = table(spark, root, "job_ads").join(inst, "institution_id", "left")
+    x = spread(table(spark, root, "job_ads")).join(inst, "institution_id", "left")
     core = F.lower(F.concat_ws(" | ", "title", "department", "discipline"))
     sp = F.col("structured_position")
     flags = facets.rank_flags(F.col("title"), sp["ranks"], F.col("post_type"))
